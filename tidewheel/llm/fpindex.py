@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm import kernels as K
-from tidewheel.llm.repeats import ANCHOR_SCHEMA, Units, anchor_rows, packed_codes, remove_repeats
+from tidewheel.llm.repeats import ANCHOR_SCHEMA, Units, anchor_rows, packed_codes, remove_repeats, shards_for
 from tidewheel.llm.store import new_path, parts_for, text_bytes, written
 
 RUN = "bucket int, fps binary, ids binary"
@@ -32,45 +32,41 @@ def entries(table: pa.Table, rows: np.ndarray):
     return K.buffers(part.column("fps"))[0].view("<u4"), K.buffers(part.column("ids"))[0].view("<i8")
 
 
-def merge_join(table: pa.Table) -> pa.Table:
+def merge_join(shards: int):
     """Merge the batch's fingerprints of one bucket with those of every run.
 
     Out come rows of two kinds: codes of documents whose windows may repeat
     (new ones, and historical ones met for the first time), and the new run.
     """
-    bucket = table.column("bucket")[0].as_py()
-    age = table.column("age").to_numpy()
-    fp, ids = entries(table, np.flatnonzero(age < 0))
-    inside = K.repeated(fp)
-    hits_c, hits_d = [fp[inside & (ids >= 0)]], [ids[inside & (ids >= 0)]]
-    f, d = sorted_run(fp, ids)
-    old = np.zeros(len(f), bool)
-    for a in np.unique(age[age >= 0]):
-        hf, hd = entries(table, np.flatnonzero(age == a))
-        at = np.searchsorted(hf, f)
-        met = (at < len(hf)) & (hf[np.minimum(at, max(len(hf) - 1, 0))] == f) if len(hf) else np.zeros(len(f), bool)
-        old |= met
-        them = hd[at[met]]
-        hits_c.append(f[met][them >= 0])
-        hits_d.append(them[them >= 0])
-    own = old & (d >= 0)
-    hits_c.append(f[own])
-    hits_d.append(d[own])
-    codes = (K.U64(bucket) << K.U64(32)) | np.concatenate(hits_c).astype(K.U64)
-    rows = [b for b in packed_codes(codes, np.concatenate(hits_d))]
-    hit_ids = [x for b in rows for x in b.column(0).to_pylist()]
-    hit_codes = [x for b in rows for x in b.column(1).to_pylist()]
-    n = len(hit_ids)
-    # a fingerprint that an older run holds is now known to repeat; the run says so from here on
-    run_ids = np.where(old, -1, d)
-    return pa.table(
-        {
-            "bucket": pa.array([-1] * n + [bucket], pa.int32()),
-            "doc_id": pa.array([*hit_ids, None], pa.int64()),
-            "fps": pa.array([*hit_codes, f.astype("<u4").tobytes()], pa.binary()),
-            "ids": pa.array([None] * n + [run_ids.astype("<i8").tobytes()], pa.binary()),
-        }
-    )
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        age = table.column("age").to_numpy()
+        fp, ids = entries(table, np.flatnonzero(age < 0))
+        inside = K.repeated(fp)
+        hits_c, hits_d = [fp[inside & (ids >= 0)]], [ids[inside & (ids >= 0)]]
+        f, d = sorted_run(fp, ids)
+        old = np.zeros(len(f), bool)
+        for a in np.unique(age[age >= 0]):
+            hf, hd = entries(table, np.flatnonzero(age == a))
+            if not len(hf):
+                continue
+            at = np.minimum(np.searchsorted(hf, f), len(hf) - 1)
+            met = hf[at] == f
+            old |= met
+            them = hd[at[met]]
+            hits_c.append(f[met][them >= 0])
+            hits_d.append(them[them >= 0])
+        own = old & (d >= 0)
+        hits_c.append(f[own])
+        hits_d.append(d[own])
+        codes = (K.U64(bucket) << K.U64(32)) | np.concatenate(hits_c).astype(K.U64)
+        # a fingerprint that an older run holds is now known to repeat; the run says so from here on
+        new = pa.table({"bucket": pa.array([bucket], pa.int32()), "shard": pa.nulls(1, pa.int32()), "codes": pa.array([f.astype("<u4").tobytes()], pa.binary()), "ids": pa.array([np.where(old, -1, d).astype("<i8").tobytes()], pa.binary())})
+        hits = [pa.table({"bucket": pa.nulls(b.num_rows, pa.int32())} | dict(zip(b.schema.names, b.columns, strict=True))) for b in packed_codes(codes, np.concatenate(hits_d), shards)]
+        return pa.concat_tables([new, *hits])
+
+    return run
 
 
 def compacted(table: pa.Table) -> pa.Table:
@@ -88,8 +84,8 @@ class FingerprintIndex:
     candidates; `remove_repeats` verifies them on text.
     """
 
-    def __init__(self, spark: SparkSession, units: Units, buckets: int, path: str | None = None):
-        self.spark, self.units, self.buckets = spark, units, buckets
+    def __init__(self, spark: SparkSession, units: Units, buckets: int, shards: int, path: str | None = None):
+        self.spark, self.units, self.buckets, self.shards = spark, units, buckets, shards
         self.path = path or new_path(spark, "fp-index")
         self.runs: list[str] = []
         self.made = 0
@@ -104,16 +100,15 @@ class FingerprintIndex:
         return self.spark.read.schema(RUN).parquet(path)
 
     def ingest(self, batch: DataFrame) -> DataFrame:
-        """Candidates (doc_id, codes) that the batch (doc_id, text) brings, of its own and of earlier documents."""
-        met = written(batch.mapInArrow(anchor_rows(self.units, self.buckets), ANCHOR_SCHEMA), "fp-batch")
-        new = met.where("bucket >= 0").select("bucket", F.col("codes").alias("fps"), "ids", F.lit(-1).alias("age"))
+        """Candidates (shard, codes, ids) that the batch (doc_id, text) brings, of its own and of earlier documents."""
+        met = written(batch.mapInArrow(anchor_rows(self.units, self.buckets, self.shards), ANCHOR_SCHEMA), "fp-batch")
+        new = met.where("bucket is not null").select("bucket", F.col("codes").alias("fps"), "ids", F.lit(-1).alias("age"))
         sides = [new, *(self._read(p).withColumn("age", F.lit(i)) for i, p in enumerate(self.runs))]
-        joined = written(reduce(DataFrame.unionByName, sides).groupBy("bucket").applyInArrow(merge_join, "bucket int, doc_id bigint, fps binary, ids binary"), "fp-joined")
-        self.runs.append(self._add(joined.where("bucket >= 0").select("bucket", "fps", "ids")))
+        joined = written(reduce(DataFrame.unionByName, sides).groupBy("bucket").applyInArrow(merge_join(self.shards), ANCHOR_SCHEMA), "fp-joined")
+        self.runs.append(self._add(joined.where("bucket is not null").select("bucket", F.col("codes").alias("fps"), "ids")))
         if len(self.runs) > FANOUT:
             self.compact()
-        known = met.where("bucket < 0").select("doc_id", "codes")
-        return known.unionByName(joined.where("bucket < 0").select("doc_id", F.col("fps").alias("codes")))
+        return met.where("bucket is null").unionByName(joined.where("bucket is null")).select("shard", "codes", "ids")
 
     def compact(self) -> None:
         """Merge all runs into one."""
@@ -136,10 +131,10 @@ def substring_dedup(docs: DataFrame, width: int = 20, batches: int = 3, keep_tex
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     u = Units("words", width, 5, "hash")
     _, size = text_bytes(docs)
-    buckets = parts_for(size, 8 << 20)
+    buckets = parts_for(size, 64 << 20)
     r = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     lo, hi = (r["lo"], r["hi"]) if r["lo"] is not None else (0, 0)
-    index = FingerprintIndex(docs.sparkSession, u, buckets)
+    index = FingerprintIndex(docs.sparkSession, u, buckets, shards_for(size))
     found = []
     for i in range(batches):
         a, b = lo + (hi - lo + 1) * i // batches, lo + (hi - lo + 1) * (i + 1) // batches

@@ -99,11 +99,25 @@ def ids_of(column) -> np.ndarray:
     return (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).fill_null(LAST).to_numpy(zero_copy_only=False)
 
 
-def anchor_rows(u: Units, buckets: int, flush: int = 1 << 20):
+def shard_of(ids: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a document; shard_column says the same in Spark."""
+    return (ids ^ (ids >> 17)) % shards
+
+
+def shard_column(shards: int):
+    key = F.coalesce(F.col("doc_id"), F.lit(LAST))
+    return F.pmod(key.bitwiseXOR(F.shiftright(key, 17)), F.lit(shards)).cast("int").alias("shard")
+
+
+def shards_for(size: int) -> int:
+    return parts_for(size, 8 << 20) | 1
+
+
+def anchor_rows(u: Units, buckets: int, shards: int, flush: int = 1 << 20):
     """Map documents to (bucket, fingerprints, ids): one entry for each anchor hash of up to `flush` anchors.
 
-    An anchor met more than once here is known to repeat: its documents go to
-    rows with bucket -1 at once, and its entry carries the id -1.
+    An anchor met more than once here is known to repeat: its documents and codes
+    go to rows with their shard at once, and its entry carries the id -1.
     """
 
     def out(codes, ids):
@@ -121,16 +135,16 @@ def anchor_rows(u: Units, buckets: int, flush: int = 1 << 20):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(b[cuts[:-1]].astype(np.int32)),
-                    pa.nulls(len(cuts) - 1, pa.int64()),
+                    pa.nulls(len(cuts) - 1, pa.int32()),
                     pa.array([fp[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
                     pa.array([owner[i:j].astype("<i8").tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
                 ],
-                ["bucket", "doc_id", "codes", "ids"],
+                ["bucket", "shard", "codes", "ids"],
             )
 
     def code_rows(c, d):
-        for b in packed_codes(c, d):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, -1, np.int32)), b.column(0), b.column(1), pa.nulls(b.num_rows, pa.binary())], ["bucket", "doc_id", "codes", "ids"])
+        for b in packed_codes(c, d, shards):
+            yield pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int32()), *b.columns], ["bucket", "shard", "codes", "ids"])
 
     def run(batches):
         codes, ids, held = [], [], 0
@@ -149,22 +163,37 @@ def anchor_rows(u: Units, buckets: int, flush: int = 1 << 20):
     return run
 
 
-ANCHOR_SCHEMA = "bucket int, doc_id bigint, codes binary, ids binary"
+ANCHOR_SCHEMA = "bucket int, shard int, codes binary, ids binary"
 
 
-def packed_codes(codes: np.ndarray, ids: np.ndarray):
-    """Rows (doc_id, codes as 64-bit integers), one for each document."""
+def packed_codes(codes: np.ndarray, ids: np.ndarray, shards: int):
+    """Rows (shard, codes as 64-bit integers, ids), one for each shard."""
     if not len(codes):
         return
-    order = np.lexsort((codes, ids))
-    c, d = codes[order], ids[order]
-    cuts = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1], [True]]))
+    shard = shard_of(ids, shards)
+    order = np.argsort(shard, kind="stable")
+    c, d, p = codes[order].astype("<u8"), ids[order].astype("<i8"), shard[order]
+    cuts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1], [True]]))
+    span = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
     yield pa.RecordBatch.from_arrays(
-        [pa.array(d[cuts[:-1]]), pa.array([np.unique(c[i:j]).astype("<u8").tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())],
-        ["doc_id", "codes"],
+        [pa.array(p[cuts[:-1]].astype(np.int32)), pa.array([c[i:j].tobytes() for i, j in span], pa.binary()), pa.array([d[i:j].tobytes() for i, j in span], pa.binary())],
+        ["shard", "codes", "ids"],
     )
 
 
+CODES = "shard int, codes binary, ids binary"
+NO_CODES = {"shard": pa.array([], pa.int32()), "codes": pa.array([], pa.binary()), "ids": pa.array([], pa.binary())}
+
+
+def packed(raw: bytes) -> bytes:
+    """Size and compressed bytes: what is sent costs less than its compression."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
+
+
 def suffix_groups(seg: np.ndarray, width: int):
     """Suffix array of the bytes and, by place in it, the prefix length (up to `width`) shared with the suffix before.
 
@@ -256,10 +285,18 @@ def first_windows(data: np.ndarray, ws: np.ndarray, we: np.ndarray, tail: np.nda
     if not n:
         return order
     fp = K.span_hashes(data, ws, we)
-    by = np.lexsort((order, fp))
+    by = np.argsort(fp)
     f = fp[by]
-    head = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-    owner = by[head][np.searchsorted(f[head], fp)]
+    again = np.flatnonzero(f[1:] == f[:-1])
+    owner = np.arange(n)
+    if not len(again):
+        return order
+    shared = f[again[np.concatenate([[True], again[1:] != again[:-1] + 1])]]
+    lo, hi = np.searchsorted(f, shared, "left"), np.searchsorted(f, shared, "right")
+    who = by[flat(lo, hi - lo)]
+    group = np.repeat(np.arange(len(lo)), hi - lo)
+    who = who[np.lexsort((order[who], group))]
+    owner[who] = np.repeat(who[np.cumsum(hi - lo) - (hi - lo)], hi - lo)
     other = owner != np.arange(n)
     chained = np.zeros(n, bool)
     chained[1:] = joined[1:] & other[1:] & other[:-1] & (owner[1:] == owner[:-1] + 1) & joined[np.minimum(owner[1:], n - 1)]
@@ -274,7 +311,7 @@ def first_windows(data: np.ndarray, ws: np.ndarray, we: np.ndarray, tail: np.nda
 
     if differs(np.flatnonzero(other & ~chained), np.flatnonzero(other & chained)):
         seen: dict[bytes, int] = {}  # two texts share a fingerprint: compare them as they are
-        for i in by:
+        for i in np.argsort(order, kind="stable"):
             owner[i] = seen.setdefault(data[ws[i] : we[i]].tobytes(), int(i))
     return order[owner]
 
@@ -313,7 +350,7 @@ def result_of(u: Units, data: np.ndarray, cover: list[tuple[np.ndarray, np.ndarr
 
 
 RESULT = "doc_id bigint, th bigint, n_units bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text binary"
-SHARD = f"kind int, bucket int, meta binary, payload binary, {RESULT}, text string, cover binary"
+SHARD = f"kind int, bucket int, meta binary, payload binary, {RESULT}, zipped binary, cover binary"
 META = np.dtype([("doc", "<i8"), ("th", "<i8"), ("start", "<i8"), ("n", "<i4"), ("size", "<i4")])
 COVER = np.dtype([("start", "<i8"), ("n", "<i8")])
 
@@ -335,10 +372,9 @@ def shard_rows(u: Units, buckets: int, merge_buckets: int, keep_text: bool):
         ids = ids_of(docs.column("doc_id"))
         ths = docs.column("th").to_numpy()
         data, offsets = K.buffers(docs.column("text"))
-        cids = ids_of(cand.column("doc_id"))
-        cdata, coff = K.buffers(cand.column("codes"))
-        ccodes = cdata.view("<u8") if len(cdata) else np.zeros(0, U64)
-        wanted = np.sort(K.mix(ccodes ^ K.mix(np.repeat(cids, np.diff(coff) // 8).view(U64))))
+        ccodes = np.frombuffer(b"".join(cand.column("codes").to_pylist()), "<u8")
+        cids = np.frombuffer(b"".join(cand.column("ids").to_pylist()), "<i8")
+        wanted = np.sort(K.mix(ccodes ^ K.mix(cids.view(U64))))
         n = len(ids)
         parts = []  # candidate runs by document
         spans = []
@@ -371,14 +407,13 @@ def shard_rows(u: Units, buckets: int, merge_buckets: int, keep_text: bool):
                 rows[k].append(x.get(k))
 
         for b, meta, payload in pieces(merge_buckets, ids, ths):
-            add(kind=1, bucket=b, meta=meta, payload=payload)
+            add(kind=1, bucket=b, meta=packed(meta), payload=packed(payload))
         waiting = set(pend.tolist())
-        texts = docs.column("text")
         for i in range(n):
             own = cover.get(i)
             who = {"doc_id": None if ids[i] == LAST else int(ids[i]), "th": int(ths[i])}
             if i in waiting:
-                add(kind=2, text=texts[i].as_py(), cover=cover_blob(*own) if own else b"", **who)
+                add(kind=2, zipped=packed(data[offsets[i] : offsets[i + 1]].tobytes()), cover=cover_blob(*own) if own else b"", **who)
                 continue
             total, gone, n_spans, sha, kept = result_of(u, data[offsets[i] : offsets[i + 1]], [own] if own else [], keep_text)
             add(kind=0, n_units=total, n_removed=gone, n_spans=n_spans, kept_sha256=sha, kept_text=kept, **who)
@@ -387,7 +422,7 @@ def shard_rows(u: Units, buckets: int, merge_buckets: int, keep_text: bool):
     return run
 
 
-SHARD_TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.binary()]
+SHARD_TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
 
 
 def flat(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -478,8 +513,8 @@ def merge_rows(u: Units):
     """Compare the first windows of all shards in one bucket; return each document's windows that start earlier elsewhere."""
 
     def run(table: pa.Table) -> pa.Table:
-        meta = np.frombuffer(b"".join(table.column("meta").to_pylist()), META)
-        data, _ = K.buffers(table.column("payload"))
+        meta = np.frombuffer(b"".join(unpacked(x) for x in table.column("meta").to_pylist()), META)
+        data = np.frombuffer(b"".join(unpacked(x) for x in table.column("payload").to_pylist()), np.uint8)
         size, m = meta["size"].astype(np.int64), meta["n"].astype(np.int64)
         off = np.cumsum(size) - size
         if u.kind == "bytes":
@@ -516,7 +551,7 @@ def finish_rows(u: Units, keep_text: bool):
     def run(table: pa.Table) -> pa.Table:
         found: dict[tuple, list] = {}
         texts = []
-        for d, t, text, c in zip(*(table.column(k).to_pylist() for k in ("doc_id", "th", "text", "cover")), strict=True):
+        for d, t, text, c in zip(*(table.column(k).to_pylist() for k in ("doc_id", "th", "zipped", "cover")), strict=True):
             if c:
                 x = np.frombuffer(c, COVER)
                 found.setdefault((d, t), []).append((x["start"], x["n"]))
@@ -524,7 +559,7 @@ def finish_rows(u: Units, keep_text: bool):
                 texts.append((d, t, text))
         rows = []
         for d, t, text in texts:
-            rows.append((d, t, *result_of(u, np.frombuffer(text.encode(), np.uint8), found.get((d, t), []), keep_text)))
+            rows.append((d, t, *result_of(u, np.frombuffer(unpacked(text), np.uint8), found.get((d, t), []), keep_text)))
         cols = list(zip(*rows, strict=True)) or [[]] * len(names)
         return pa.table({k: pa.array(list(c), ty) for k, c, ty in zip(names, cols, SHARD_TYPES[4:11], strict=True)})
 
@@ -532,17 +567,15 @@ def finish_rows(u: Units, keep_text: bool):
 
 
 def remove_repeats(docs: DataFrame, u: Units, candidates: DataFrame, buckets: int, size: int, keep_text: bool) -> DataFrame:
-    """Steps 2 to 4 of the module's account.  docs: doc_id, text (not null); candidates: doc_id, codes; size: bytes of text."""
-    shards = parts_for(size, 8 << 20)
-    merges = parts_for(size, 4 << 20)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard")
-    none = F.lit(None)
-    left = docs.select(place, "doc_id", F.xxhash64("text").alias("th"), "text", none.cast("binary").alias("codes"))
-    last = F.when(F.col("doc_id") < LAST, F.col("doc_id")).alias("doc_id")
-    right = candidates.select(last, "codes").select(place, "doc_id", none.cast("bigint").alias("th"), none.cast("string").alias("text"), "codes")
+    """Steps 2 to 4 of the module's account.  docs: doc_id, text (not null); candidates: CODES; size: bytes of text."""
+    shards, merges = shards_for(size), parts_for(size, 8 << 20)
+    place = shard_column(shards)
+    none = F.lit(None).cast("binary")
+    left = docs.select(place, "doc_id", F.xxhash64("text").alias("th"), "text", none.alias("codes"), none.alias("ids"))
+    right = candidates.select("shard", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("th"), F.lit(None).cast("string").alias("text"), "codes", "ids")
     out = written(left.unionByName(right).groupBy("shard").applyInArrow(shard_rows(u, buckets, merges, keep_text), SHARD), "repeat-shards")
     found = out.where("kind = 1").select("bucket", "meta", "payload").groupBy("bucket").applyInArrow(merge_rows(u), "doc_id bigint, th bigint, cover binary")
-    waiting = out.where("kind = 2").select("doc_id", "th", "text", "cover")
-    both = waiting.unionByName(found.select("doc_id", "th", F.lit(None).cast("string").alias("text"), "cover"))
+    waiting = out.where("kind = 2").select("doc_id", "th", "zipped", "cover")
+    both = waiting.unionByName(found.select("doc_id", "th", none.alias("zipped"), "cover"))
     done = both.withColumn("shard", place).groupBy("shard").applyInArrow(finish_rows(u, keep_text), RESULT)
     return out.where("kind = 0").select(*done.columns).unionByName(done)

@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm import kernels as K
-from tidewheel.llm.repeats import ANCHOR_SCHEMA, Units, anchor_rows, packed_codes, remove_repeats
+from tidewheel.llm.repeats import ANCHOR_SCHEMA, CODES, NO_CODES, Units, anchor_rows, packed_codes, remove_repeats, shards_for
 from tidewheel.llm.store import parts_for, text_bytes, written
 
 
-def repeated_codes(table: pa.Table) -> pa.Table:
+def repeated_codes(shards: int):
     """Documents and codes of the anchors that more than one map task (or flush) has met."""
-    bucket = table.column("bucket")[0].as_py()
-    fp = K.buffers(table.column("codes"))[0].view("<u4")
-    ids = K.buffers(table.column("ids"))[0].view("<i8")
-    hit = K.repeated(fp) & (ids >= 0)
-    codes = (K.U64(bucket) << K.U64(32)) | fp[hit].astype(K.U64)
-    out = list(packed_codes(codes, ids[hit]))
-    return pa.Table.from_batches(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "codes": pa.array([], pa.binary())})
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        fp = K.buffers(table.column("codes"))[0].view("<u4")
+        ids = K.buffers(table.column("ids"))[0].view("<i8")
+        hit = K.repeated(fp) & (ids >= 0)
+        out = list(packed_codes((K.U64(bucket) << K.U64(32)) | fp[hit].astype(K.U64), ids[hit], shards))
+        return pa.Table.from_batches(out) if out else pa.table(NO_CODES)
+
+    return run
 
 
 def suffix_dedup(docs: DataFrame, width: int = 100, keep_text: bool = False) -> DataFrame:
@@ -29,7 +31,7 @@ def suffix_dedup(docs: DataFrame, width: int = 100, keep_text: bool = False) ->
     Each shard sorts the suffixes of the stretches that may repeat
     (Larsson-Sadakane), takes common prefixes (Kasai) and sends the first copy of
     every string on; shards are merged by bisection over sorted fingerprints with
-    a check on bytes.  A stretch may repeat if its anchor (least 16-gram hash)
+    a check on bytes.  A stretch may repeat if its anchor (least 32-gram hash)
     occurs elsewhere, so strings that occur once are neither sorted nor sent.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text,
@@ -38,12 +40,12 @@ def suffix_dedup(docs: DataFrame, width: int = 100, keep_text: bool = False) ->
     (none is earlier than the other at equal starts).  Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    u = Units("bytes", width, 16, "suffix")
+    u = Units("bytes", width, 32, "suffix")
     _, size = text_bytes(docs)
-    buckets = parts_for(size, 8 << 20)
-    met = written(docs.mapInArrow(anchor_rows(u, buckets), ANCHOR_SCHEMA), "suffix-anchors")
-    known = met.where("bucket < 0").select("doc_id", "codes")
-    found = met.where("bucket >= 0").groupBy("bucket").applyInArrow(repeated_codes, "doc_id bigint, codes binary")
+    buckets, shards = parts_for(size, 64 << 20), shards_for(size)
+    met = written(docs.mapInArrow(anchor_rows(u, buckets, shards), ANCHOR_SCHEMA), "suffix-anchors")
+    known = met.where("bucket is null").select("shard", "codes", "ids")
+    found = met.where("bucket is not null").select("bucket", "codes", "ids").groupBy("bucket").applyInArrow(repeated_codes(shards), CODES)
     out = remove_repeats(docs, u, known.unionByName(found), buckets, size, keep_text)
     cols = ["doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256"]
     return out.select(*cols, *(["kept_text"] if keep_text else []))
