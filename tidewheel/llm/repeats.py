@@ -352,6 +352,7 @@ def result_of(u: Units, data: np.ndarray, cover: list[tuple[np.ndarray, np.ndarr
 RESULT = "doc_id bigint, th bigint, n_units bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text binary"
 SHARD = f"kind int, bucket int, meta binary, payload binary, {RESULT}, zipped binary, cover binary"
 META = np.dtype([("doc", "<i8"), ("th", "<i8"), ("start", "<i8"), ("n", "<i4"), ("size", "<i4")])
+FOUND = np.dtype([("doc", "<i8"), ("th", "<i8"), ("start", "<i8"), ("n", "<i4")])
 COVER = np.dtype([("start", "<i8"), ("n", "<i8")])
 
 
@@ -509,7 +510,7 @@ def word_windows(raw: list, m: np.ndarray, width: int):
     return out, ns[w], ne[w + width - 1], ns[w + width - 1], joined, w
 
 
-def merge_rows(u: Units):
+def merge_rows(u: Units, shards: int):
     """Compare the first windows of all shards in one bucket; return each document's windows that start earlier elsewhere."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -529,15 +530,15 @@ def merge_rows(u: Units):
         order = (np.repeat(dense, m).astype(np.int64) << 40) | start
         later = first_windows(data, ws, we, tail, joined, order) < order
         pd_, ps, pn = runs_of(later, np.repeat(np.arange(len(m)), m), start)
-        doc, th = meta["doc"][pd_], meta["th"][pd_]
-        by = np.lexsort((ps, th, doc))
-        doc, th, ps, pn = doc[by], th[by], ps[by], pn[by]
-        cuts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]), [True]])) if len(doc) else np.zeros(1, np.int64)
+        out = np.empty(len(pd_), FOUND)
+        out["doc"], out["th"], out["start"], out["n"] = meta["doc"][pd_], meta["th"][pd_], ps, pn
+        shard = shard_of(out["doc"], shards)
+        by = np.argsort(shard, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], shard[by][1:] != shard[by][:-1], [True]])) if len(by) else np.zeros(1, np.int64)
         return pa.table(
             {
-                "doc_id": pa.array([None if doc[x] == LAST else int(doc[x]) for x in cuts[:-1]], pa.int64()),
-                "th": pa.array(th[cuts[:-1]] if len(doc) else [], pa.int64()),
-                "cover": pa.array([cover_blob(ps[x:y], pn[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+                "shard": pa.array(shard[by][cuts[:-1]].astype(np.int32) if len(by) else [], pa.int32()),
+                "cover": pa.array([packed(out[by[x:y]].tobytes()) for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
             }
         )
 
@@ -549,17 +550,21 @@ def finish_rows(u: Units, keep_text: bool):
     names = [x.split()[0] for x in RESULT.split(", ")]
 
     def run(table: pa.Table) -> pa.Table:
-        found: dict[tuple, list] = {}
-        texts = []
-        for d, t, text, c in zip(*(table.column(k).to_pylist() for k in ("doc_id", "th", "zipped", "cover")), strict=True):
-            if c:
-                x = np.frombuffer(c, COVER)
-                found.setdefault((d, t), []).append((x["start"], x["n"]))
-            if text is not None:
-                texts.append((d, t, text))
+        late = table.filter(pa.compute.is_null(table.column("zipped")))
+        hits = np.frombuffer(b"".join(unpacked(x) for x in late.column("cover").to_pylist()), FOUND)
+        hits = hits[np.lexsort((hits["th"], hits["doc"]))]
+        new = (hits["doc"][1:] != hits["doc"][:-1]) | (hits["th"][1:] != hits["th"][:-1])
+        cuts = np.flatnonzero(np.concatenate([[True], new, [True]])) if len(hits) else np.zeros(1, np.int64)
+        found = {(int(hits["doc"][x]), int(hits["th"][x])): (x, y) for x, y in zip(cuts[:-1], cuts[1:], strict=True)}
         rows = []
-        for d, t, text in texts:
-            rows.append((d, t, *result_of(u, np.frombuffer(unpacked(text), np.uint8), found.get((d, t), []), keep_text)))
+        docs = table.filter(pa.compute.is_valid(table.column("zipped")))
+        for d, t, text, c in zip(*(docs.column(k).to_pylist() for k in ("doc_id", "th", "zipped", "cover")), strict=True):
+            own = np.frombuffer(c, COVER)
+            cover = [(own["start"], own["n"])]
+            if (span := found.get((LAST if d is None else d, t))) is not None:
+                x = hits[span[0] : span[1]]
+                cover.append((x["start"], x["n"].astype(np.int64)))
+            rows.append((d, t, *result_of(u, np.frombuffer(unpacked(text), np.uint8), cover, keep_text)))
         cols = list(zip(*rows, strict=True)) or [[]] * len(names)
         return pa.table({k: pa.array(list(c), ty) for k, c, ty in zip(names, cols, SHARD_TYPES[4:11], strict=True)})
 
@@ -574,8 +579,9 @@ def remove_repeats(docs: DataFrame, u: Units, candidates: DataFrame, buckets: in
     left = docs.select(place, "doc_id", F.xxhash64("text").alias("th"), "text", none.alias("codes"), none.alias("ids"))
     right = candidates.select("shard", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("th"), F.lit(None).cast("string").alias("text"), "codes", "ids")
     out = written(left.unionByName(right).groupBy("shard").applyInArrow(shard_rows(u, buckets, merges, keep_text), SHARD), "repeat-shards")
-    found = out.where("kind = 1").select("bucket", "meta", "payload").groupBy("bucket").applyInArrow(merge_rows(u), "doc_id bigint, th bigint, cover binary")
-    waiting = out.where("kind = 2").select("doc_id", "th", "zipped", "cover")
-    both = waiting.unionByName(found.select("doc_id", "th", none.alias("zipped"), "cover"))
-    done = both.withColumn("shard", place).groupBy("shard").applyInArrow(finish_rows(u, keep_text), RESULT)
+    found = out.where("kind = 1").select("bucket", "meta", "payload").groupBy("bucket").applyInArrow(merge_rows(u, shards), "shard int, cover binary")
+    waiting = out.where("kind = 2").select(place, "doc_id", "th", "zipped", "cover")
+    empty = [F.lit(None).cast("bigint").alias(c) for c in ("doc_id", "th")]
+    both = waiting.unionByName(found.select("shard", *empty, none.alias("zipped"), "cover"))
+    done = both.groupBy("shard").applyInArrow(finish_rows(u, keep_text), RESULT)
     return out.where("kind = 0").select(*done.columns).unionByName(done)
