@@ -1,16 +1,70 @@
-"""Corpus preparation: quality rules, near-duplicates, repeated passages, benchmark leaks, tokens."""
+"""Corpus preparation: quality rules, near-duplicates, repeated passages, benchmark leaks, tokens.
+
+Every stage keeps the columns of documents (doc_id, text, lang, source, n_chars;
+others are dropped) but for the last, which returns tokens.  Rows that share a
+doc_id are one document and stay or go together; rows without one are judged
+together in the same way.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewheel.llm.bpe import bpe_round_trip
+from tidewheel.llm.decontam import contaminated
+from tidewheel.llm.neardup import near_duplicates
+from tidewheel.llm.queries import vocabulary
+from tidewheel.llm.rules import quality_rules
+from tidewheel.llm.store import written
+from tidewheel.llm.suffix import suffix_dedup
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The documents whose id is (left_semi) or is not (left_anti) in ids."""
+    ids = ids.select(F.col("doc_id").alias("id"))
+    return docs.select(*COLUMNS).join(ids, docs["doc_id"].eqNullSafe(ids["id"]), how)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return only(docs, quality_rules(docs).where("kept"), "left_semi")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one with the smallest id."""
+    groups = near_duplicates(docs, shingle=5, percent=80)
+    return only(docs, groups.where("kept or doc_id is null"), "left_semi")
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages go; n_chars says what is left.  A character that loses a byte goes with it."""
+    out = suffix_dedup(docs, width=100, keep_text=True, carry=["lang", "source"])
+    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("bigint").alias("n_chars"))
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    pairs = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=80)
+    return only(docs, pairs.select("doc_id").distinct(), "left_anti")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, digests of the ids and of the decoded text, and the ids."""
+    return bpe_round_trip(docs, vocabulary(), keep_ids=True)
+
+
+STAGES = [("quality_rules", quality), ("near_duplicates", near), ("repeated_passages", passages), ("benchmark_leaks", leaks), ("tokens", tokens)]
 
-STAGES = []
+#: the second, third and last stage are not expressible in SQL
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each over what the one before it kept."""
+    """All stages in order, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

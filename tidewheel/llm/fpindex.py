@@ -8,9 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewheel.llm import kernels as K
-from tidewheel.llm.repeats import ANCHOR_SCHEMA, Units, anchor_rows, packed_codes, remove_repeats, shards_for
+from tidewheel.llm.repeats import ANCHOR_SCHEMA, Units, anchor_rows, carried, packed_codes, remove_repeats, shards_for
 from tidewheel.llm.store import new_path, parts_for, text_bytes, written
 
 RUN = "bucket int, fps binary, ids binary"
@@ -101,7 +102,7 @@ class FingerprintIndex:
 
     def ingest(self, batch: DataFrame) -> DataFrame:
         """Candidates (shard, codes, ids) that the batch (doc_id, text) brings, of its own and of earlier documents."""
-        met = written(batch.mapInArrow(anchor_rows(self.units, self.buckets, self.shards), ANCHOR_SCHEMA), "fp-batch")
+        met = written(batch.select("doc_id", "text").mapInArrow(anchor_rows(self.units, self.buckets, self.shards), ANCHOR_SCHEMA), "fp-batch")
         new = met.where("bucket is not null").select("bucket", F.col("codes").alias("fps"), "ids", F.lit(-1).alias("age"))
         sides = [new, *(self._read(p).withColumn("age", F.lit(i)) for i, p in enumerate(self.runs))]
         joined = written(reduce(DataFrame.unionByName, sides).groupBy("bucket").applyInArrow(merge_join(self.shards), ANCHOR_SCHEMA), "fp-joined")
@@ -116,19 +117,20 @@ class FingerprintIndex:
         self.runs = [self._add(whole.groupBy("bucket").applyInArrow(compacted, RUN))]
 
 
-def substring_dedup(docs: DataFrame, width: int = 20, batches: int = 3, keep_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 20, batches: int = 3, keep_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """Remove every word covered by a window of `width` words that also starts earlier in the corpus.
 
     Documents go through a FingerprintIndex in `batches` ranges of doc_id, as they
     would come in over time; each batch is merge-joined with the runs of all
     earlier ones.  The windows it finds are compared word by word.
 
-    Returns doc_id, n_words, n_removed, kept_sha256 (and kept_text, UTF-8 bytes,
-    if asked for), one row for each row of docs.  Null texts have no words; a null doc_id comes last in order and is in
+    Returns doc_id, n_words, n_removed, kept_sha256 (and kept_text and the
+    columns to carry, if asked for), one row for each row of docs.  Null texts have no words; a null doc_id comes last in order and is in
     the last batch; rows with one doc_id are one document given more than once.
     Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    fields = [f for f in docs.schema if f.name in (carry or [])]
+    docs = carried(docs, carry or [])
     u = Units("words", width, 5, "hash")
     _, size = text_bytes(docs)
     buckets = parts_for(size, 64 << 20)
@@ -143,4 +145,5 @@ def substring_dedup(docs: DataFrame, width: int = 20, batches: int = 3, keep_tex
         found.append(index.ingest(docs.where(inside | F.col("doc_id").isNull() if last else inside)))
     out = remove_repeats(docs, u, reduce(DataFrame.unionByName, found), buckets, size, keep_text)
     cols = ["doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256"]
-    return out.select(*cols, *(["kept_text"] if keep_text else []))
+    rest = F.from_json("rest", StructType(fields))
+    return out.select(*cols, *(["kept_text"] if keep_text else []), *(rest[f.name].alias(f.name) for f in fields))

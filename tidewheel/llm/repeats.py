@@ -45,6 +45,12 @@ class Units:
     local: str  # "suffix" or "hash"
 
 
+def carried(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """doc_id, text (null: empty) and rest: the named columns as JSON."""
+    rest = F.to_json(F.struct(*columns)) if columns else F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
+
+
 def units_of(u: Units, data: np.ndarray, offsets: np.ndarray):
     """(k-gram hashes by unit, unit offsets of the documents, byte starts and ends of words or None)."""
     if u.kind == "bytes":
@@ -328,7 +334,7 @@ def runs_of(flags: np.ndarray, doc: np.ndarray, start: np.ndarray):
 
 
 def result_of(u: Units, data: np.ndarray, cover: list[tuple[np.ndarray, np.ndarray]], keep_text: bool):
-    """One document's counts, hash of what is kept, and the kept text."""
+    """One document's counts, hash of what is kept, and the kept text (its whole characters)."""
     one = np.array([0, len(data)])
     if u.kind == "words":
         starts, ends, _ = K.spans(data, one)
@@ -346,10 +352,10 @@ def result_of(u: Units, data: np.ndarray, cover: list[tuple[np.ndarray, np.ndarr
     else:
         text = data.tobytes()
         kept = b" ".join(text[i:j] for i, j in zip(starts[~gone].tolist(), ends[~gone].tolist(), strict=True))
-    return total, int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), (kept if keep_text else None)
+    return total, int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), (kept.decode("utf-8", "ignore") if keep_text else None)
 
 
-RESULT = "doc_id bigint, th bigint, n_units bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text binary"
+RESULT = "doc_id bigint, th bigint, n_units bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string, rest string"
 SHARD = f"kind int, bucket int, meta binary, payload binary, {RESULT}, zipped binary, cover binary"
 META = np.dtype([("doc", "<i8"), ("th", "<i8"), ("start", "<i8"), ("n", "<i4"), ("size", "<i4")])
 FOUND = np.dtype([("doc", "<i8"), ("th", "<i8"), ("start", "<i8"), ("n", "<i4")])
@@ -410,9 +416,10 @@ def shard_rows(u: Units, buckets: int, merge_buckets: int, keep_text: bool):
         for b, meta, payload in pieces(merge_buckets, ids, ths):
             add(kind=1, bucket=b, meta=packed(meta), payload=packed(payload))
         waiting = set(pend.tolist())
+        rests = docs.column("rest")
         for i in range(n):
             own = cover.get(i)
-            who = {"doc_id": None if ids[i] == LAST else int(ids[i]), "th": int(ths[i])}
+            who = {"doc_id": None if ids[i] == LAST else int(ids[i]), "th": int(ths[i]), "rest": rests[i].as_py()}
             if i in waiting:
                 add(kind=2, zipped=packed(data[offsets[i] : offsets[i + 1]].tobytes()), cover=cover_blob(*own) if own else b"", **who)
                 continue
@@ -423,7 +430,7 @@ def shard_rows(u: Units, buckets: int, merge_buckets: int, keep_text: bool):
     return run
 
 
-SHARD_TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
+SHARD_TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary()]
 
 
 def flat(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -558,30 +565,30 @@ def finish_rows(u: Units, keep_text: bool):
         found = {(int(hits["doc"][x]), int(hits["th"][x])): (x, y) for x, y in zip(cuts[:-1], cuts[1:], strict=True)}
         rows = []
         docs = table.filter(pa.compute.is_valid(table.column("zipped")))
-        for d, t, text, c in zip(*(docs.column(k).to_pylist() for k in ("doc_id", "th", "zipped", "cover")), strict=True):
+        for d, t, text, c, rest in zip(*(docs.column(k).to_pylist() for k in ("doc_id", "th", "zipped", "cover", "rest")), strict=True):
             own = np.frombuffer(c, COVER)
             cover = [(own["start"], own["n"])]
             if (span := found.get((LAST if d is None else d, t))) is not None:
                 x = hits[span[0] : span[1]]
                 cover.append((x["start"], x["n"].astype(np.int64)))
-            rows.append((d, t, *result_of(u, np.frombuffer(unpacked(text), np.uint8), cover, keep_text)))
+            rows.append((d, t, *result_of(u, np.frombuffer(unpacked(text), np.uint8), cover, keep_text), rest))
         cols = list(zip(*rows, strict=True)) or [[]] * len(names)
-        return pa.table({k: pa.array(list(c), ty) for k, c, ty in zip(names, cols, SHARD_TYPES[4:11], strict=True)})
+        return pa.table({k: pa.array(list(c), ty) for k, c, ty in zip(names, cols, SHARD_TYPES[4:12], strict=True)})
 
     return run
 
 
 def remove_repeats(docs: DataFrame, u: Units, candidates: DataFrame, buckets: int, size: int, keep_text: bool) -> DataFrame:
-    """Steps 2 to 4 of the module's account.  docs: doc_id, text (not null); candidates: CODES; size: bytes of text."""
+    """Steps 2 to 4 of the module's account.  docs: doc_id, text (not null), rest (carried along); candidates: CODES; size: bytes of text."""
     shards, merges = shards_for(size), parts_for(size, 8 << 20)
     place = shard_column(shards)
     none = F.lit(None).cast("binary")
-    left = docs.select(place, "doc_id", F.xxhash64("text").alias("th"), "text", none.alias("codes"), none.alias("ids"))
-    right = candidates.select("shard", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("th"), F.lit(None).cast("string").alias("text"), "codes", "ids")
+    left = docs.select(place, "doc_id", F.xxhash64("text").alias("th"), "text", "rest", none.alias("codes"), none.alias("ids"))
+    right = candidates.select("shard", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("th"), *(F.lit(None).cast("string").alias(c) for c in ("text", "rest")), "codes", "ids")
     out = written(left.unionByName(right).groupBy("shard").applyInArrow(shard_rows(u, buckets, merges, keep_text), SHARD), "repeat-shards")
     found = out.where("kind = 1").select("bucket", "meta", "payload").groupBy("bucket").applyInArrow(merge_rows(u, shards), "shard int, cover binary")
-    waiting = out.where("kind = 2").select(place, "doc_id", "th", "zipped", "cover")
+    waiting = out.where("kind = 2").select(place, "doc_id", "th", "zipped", "cover", "rest")
     empty = [F.lit(None).cast("bigint").alias(c) for c in ("doc_id", "th")]
-    both = waiting.unionByName(found.select("shard", *empty, none.alias("zipped"), "cover"))
+    both = waiting.unionByName(found.select("shard", *empty, none.alias("zipped"), "cover", F.lit(None).cast("string").alias("rest")))
     done = both.groupBy("shard").applyInArrow(finish_rows(u, keep_text), RESULT)
     return out.where("kind = 0").select(*done.columns).unionByName(done)

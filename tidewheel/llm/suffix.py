@@ -5,9 +5,10 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewheel.llm import kernels as K
-from tidewheel.llm.repeats import ANCHOR_SCHEMA, CODES, NO_CODES, Units, anchor_rows, packed_codes, remove_repeats, shards_for
+from tidewheel.llm.repeats import ANCHOR_SCHEMA, CODES, NO_CODES, Units, anchor_rows, carried, packed_codes, remove_repeats, shards_for
 from tidewheel.llm.store import parts_for, text_bytes, written
 
 
@@ -25,7 +26,7 @@ def repeated_codes(shards: int):
     return run
 
 
-def suffix_dedup(docs: DataFrame, width: int = 100, keep_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 100, keep_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """Remove every byte covered by a `width`-byte string that also starts earlier in the corpus.
 
     Each shard sorts the suffixes of the stretches that may repeat
@@ -34,18 +35,20 @@ def suffix_dedup(docs: DataFrame, width: int = 100, keep_text: bool = False) ->
     a check on bytes.  A stretch may repeat if its anchor (least 32-gram hash)
     occurs elsewhere, so strings that occur once are neither sorted nor sent.
 
-    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text,
-    bytes, if asked for), one row for each row of docs.  Null texts count as empty; a null doc_id comes
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text
+    and the columns to carry, if asked for), one row for each row of docs.  Null texts count as empty; a null doc_id comes
     last in order; rows with one doc_id are one document given more than once
     (none is earlier than the other at equal starts).  Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    fields = [f for f in docs.schema if f.name in (carry or [])]
+    docs = carried(docs, carry or [])
     u = Units("bytes", width, 32, "suffix")
     _, size = text_bytes(docs)
     buckets, shards = parts_for(size, 64 << 20), shards_for(size)
-    met = written(docs.mapInArrow(anchor_rows(u, buckets, shards), ANCHOR_SCHEMA), "suffix-anchors")
+    met = written(docs.select("doc_id", "text").mapInArrow(anchor_rows(u, buckets, shards), ANCHOR_SCHEMA), "suffix-anchors")
     known = met.where("bucket is null").select("shard", "codes", "ids")
     found = met.where("bucket is not null").select("bucket", "codes", "ids").groupBy("bucket").applyInArrow(repeated_codes(shards), CODES)
     out = remove_repeats(docs, u, known.unionByName(found), buckets, size, keep_text)
     cols = ["doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256"]
-    return out.select(*cols, *(["kept_text"] if keep_text else []))
+    rest = F.from_json("rest", StructType(fields))
+    return out.select(*cols, *(["kept_text"] if keep_text else []), *(rest[f.name].alias(f.name) for f in fields))
