@@ -198,13 +198,27 @@ def encode_pieces(payload: str):
 
 
 def join_level(payload: str):
-    """Join the two halves of one node."""
+    """Join neighbouring halves; rows come sorted by row and slot, and both halves of a node are in one task."""
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(batches):
         codec = Codec("", payload)
-        table = table.sort_by("slot")
-        parts = [np.frombuffer(x, "<u4") for x in table.column("ids").to_pylist()]
-        return pa.table({"doc_id": pa.array([table.column("doc_id")[0].as_py()], pa.int64()), "row": pa.array([key[0].as_py()], pa.int64()), "slot": pa.array([key[1].as_py()], pa.int32()), "ids": pa.array([blob(codec.tree(parts))], pa.binary())})
+        node, parts, doc = None, [], None
+
+        def joined():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([doc], pa.int64()), pa.array([node[0]], pa.int64()), pa.array([node[1]], pa.int32()), pa.array([blob(codec.tree(parts))], pa.binary())],
+                ["doc_id", "row", "slot", "ids"],
+            )
+
+        for b in batches:
+            for d, row, slot, ids in zip(*(b.column(k).to_pylist() for k in ("doc_id", "row", "slot", "ids")), strict=True):
+                if node != (row, slot // 2):
+                    if node is not None:
+                        yield joined()
+                    node, parts, doc = (row, slot // 2), [], d
+                parts.append(np.frombuffer(ids, "<u4"))
+        if node is not None:
+            yield joined()
 
     return run
 
@@ -249,9 +263,6 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, keep_ids: bool = False, pie
         late = Late(make, *rest)
         return lambda batches: late(batches)
 
-    def joined(key, table):
-        return join_level(payload_b.value)(key, table)
-
     short = docs.where(F.length("text") <= piece).mapInArrow(mapped(encode_whole, keep_ids), RESULT)
     long = docs.where(F.length("text") > piece)
     n_long, most = long.agg(F.count(F.lit(1)), F.max(F.length("text"))).first()
@@ -265,7 +276,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, keep_ids: bool = False, pie
     level = written(spread.mapInArrow(mapped(encode_pieces), "doc_id bigint, row bigint, slot int, ids binary"), "bpe-level")
     n = -(-most // piece)
     while n > 1:
-        up = level.withColumn("slot", F.floor(F.col("slot") / 2).cast("int")).groupBy("row", "slot")
-        level = written(up.applyInArrow(joined, "doc_id bigint, row bigint, slot int, ids binary"), "bpe-level")
+        pairs = level.repartition(parts_for(n_long * 4 * piece, 1 << 20), "row", F.floor(F.col("slot") / 2)).sortWithinPartitions("row", "slot")
+        level = written(pairs.mapInArrow(mapped(join_level), "doc_id bigint, row bigint, slot int, ids binary"), "bpe-level")
         n = -(-n // 2)
     return short.select(*cols).unionByName(level.mapInArrow(mapped(digest_joined, keep_ids), RESULT).select(*cols))
