@@ -254,10 +254,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, id_col
     reps = classes.where("rep is not null").select("rep", "sig")
     keys = reps.mapInArrow(key_batches, "key bigint, rep bigint")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1")
-    members = written(keys.join(shared, "key"), "nd-members")
+    members = written(keys.join(shared.hint("merge"), "key"), "nd-members")
     hot = members.where(f"n > {HOT_KEY} and rep > least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     n_members = members.count()
-    cold = members.where(f"n <= {HOT_KEY}").select("key", "rep").join(reps, "rep")
+    cold = members.where(f"n <= {HOT_KEY}").select("key", "rep").join(reps.hint("merge"), "rep")
     parts = parts_for(n_members * 140, 8 << 20)
     edges = cold.withColumn("bucket", F.pmod("key", F.lit(parts * 4))).groupBy("bucket").applyInArrow(cold_keys, "a bigint, b bigint")
     clusters = written(components(edges.unionByName(hot), "nd-candidates"), "nd-clusters")
@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, id_col
     )
     placed = placed.select(F.col("node").alias("rep"), F.col("component").alias("cluster"), F.explode(F.when(n > 1, pairs).otherwise(one)).alias("p"))
     placed = placed.select("rep", "cluster", "p.slot", "p.side")
-    texts = docs.where("doc_id is not null").join(placed, docs["doc_id"] == placed["rep"]).drop("doc_id")
+    texts = docs.where("doc_id is not null").join(placed.hint("merge"), docs["doc_id"] == placed["rep"]).drop("doc_id")
     parts = parts_for(clusters.count() * 4000, 8 << 20)
     group = F.when(F.col("slot") < 0, F.pmod(F.xxhash64("cluster"), F.lit(parts * 4))).otherwise(F.xxhash64("cluster", "slot"))
     links = texts.withColumn("task", group).groupBy("task").applyInArrow(exact_links(shingle, percent), "a bigint, b bigint")
