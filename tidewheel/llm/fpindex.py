@@ -133,17 +133,17 @@ def substring_dedup(docs: DataFrame, width: int = 20, batches: int = 3, keep_tex
     docs = carried(docs, carry or [])
     u = Units("words", width, 5, "hash")
     _, size = text_bytes(docs)
-    buckets = parts_for(size, 64 << 20)
+    buckets, shards = parts_for(size, 64 << 20), shards_for(size)
     r = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     lo, hi = (r["lo"], r["hi"]) if r["lo"] is not None else (0, 0)
-    index = FingerprintIndex(docs.sparkSession, u, buckets, shards_for(size))
+    index = FingerprintIndex(docs.sparkSession, u, buckets, shards)
     found = []
     for i in range(batches):
         a, b = lo + (hi - lo + 1) * i // batches, lo + (hi - lo + 1) * (i + 1) // batches
         last = i == batches - 1
         inside = (F.col("doc_id") >= a) & (F.lit(True) if last else F.col("doc_id") < b)
         found.append(index.ingest(docs.where(inside | F.col("doc_id").isNull() if last else inside)))
-    out = remove_repeats(docs, u, reduce(DataFrame.unionByName, found), buckets, size, keep_text)
+    out = remove_repeats(docs, u, reduce(DataFrame.unionByName, found), buckets, shards, size, keep_text)
     cols = ["doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256"]
     rest = F.from_json("rest", StructType(fields))
     return out.select(*cols, *(["kept_text"] if keep_text else []), *(rest[f.name].alias(f.name) for f in fields))

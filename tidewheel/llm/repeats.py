@@ -115,8 +115,8 @@ def shard_column(shards: int):
     return F.pmod(key.bitwiseXOR(F.shiftright(key, 17)), F.lit(shards)).cast("int").alias("shard")
 
 
-def shards_for(size: int) -> int:
-    return parts_for(size, 8 << 20) | 1
+def shards_for(size: int, each: int = 8 << 20) -> int:
+    return parts_for(size, each) | 1
 
 
 def anchor_rows(u: Units, buckets: int, shards: int, flush: int = 1 << 20):
@@ -578,9 +578,9 @@ def finish_rows(u: Units, keep_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, u: Units, candidates: DataFrame, buckets: int, size: int, keep_text: bool) -> DataFrame:
+def remove_repeats(docs: DataFrame, u: Units, candidates: DataFrame, buckets: int, shards: int, size: int, keep_text: bool) -> DataFrame:
     """Steps 2 to 4 of the module's account.  docs: doc_id, text (not null), rest (carried along); candidates: CODES; size: bytes of text."""
-    shards, merges = shards_for(size), parts_for(size, 8 << 20)
+    merges = parts_for(size, 8 << 20)
     place = shard_column(shards)
     none = F.lit(None).cast("binary")
     left = docs.select(place, "doc_id", F.xxhash64("text").alias("th"), "text", "rest", none.alias("codes"), none.alias("ids"))
