@@ -155,7 +155,7 @@ def text_counts(data: np.ndarray, offsets: np.ndarray, window: int = 5) -> dict[
     lead = np.zeros(256, bool)
     lead[[b for b in range(256) if b & 0xC0 != 0x80]] = True
     symbols = np.zeros(256, bool)
-    symbols[list(b"#[*$%&|<>]")] = True
+    symbols[list(b"#*$%&|<>")] = True
     out = {
         "n_words": np.bincount(doc, minlength=n).astype(np.int64),
         "word_chars": counts_between((word_table() & lead)[data], offsets),

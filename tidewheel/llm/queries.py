@@ -16,6 +16,7 @@ from tidewheel.llm.gam import fit_quality, score_quality
 from tidewheel.llm.langid import fit, predict
 from tidewheel.llm.neardup import near_duplicates
 from tidewheel.llm.rules import quality_rules
+from tidewheel.llm.sql import SQL  # noqa: F401
 from tidewheel.llm.suffix import suffix_dedup
 from tidewheel.llm.warc import round_trip
 
@@ -97,5 +98,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_fingerprint_dedup,
     )
 }
-
-SQL: dict[str, str] = {}
