@@ -32,20 +32,36 @@ GROUPS: list[tuple[str, tuple[str, ...], Transform]] = [
 ]
 
 
+#: groups that join tables of their own: they are computed beside the others, on no more columns than they need
+JOINED = {"order_blocks", "fair_value_gaps", "liquidity"}
+
+
 def compute(candles: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """All feature groups, or those named and what they need."""
-    needed = {name: deps for name, deps, _ in GROUPS}
-    wanted, todo = set(), list(needed if only is None else only)
+    """All feature groups, or those named and what they need.  Candles have one row for each symbol and time.
+
+    Window groups are one chain over one exchange.  Joining groups start from the
+    candles again and come in by key, so that no join repeats the chain.
+    """
+    table = {name: (deps, transform) for name, deps, transform in GROUPS}
+    wanted, todo = set(), list(table if only is None else only)
     while todo:
         name = todo.pop()
-        if name not in needed:
+        if name not in table:
             raise KeyError(f"unknown feature group {name}")
         wanted.add(name)
-        todo += needed[name]
+        todo += [] if name in JOINED else table[name][0]
+    out = candles
     for name, _, transform in GROUPS:
-        if name in wanted:
-            candles = candles.transform(transform)
-    return candles
+        if name in wanted and name not in JOINED:
+            out = out.transform(transform)
+    for name in (g for g, _, _ in GROUPS if g in wanted and g in JOINED):
+        deps, transform = table[name]
+        side = candles
+        for dep in deps:
+            side = side.transform(table[dep][1])
+        made = side.transform(transform)
+        out = out.join(made.select("symbol", "ts", *(c for c in made.columns if c not in side.columns)), ["symbol", "ts"], "left")
+    return out
 
 
 def features(candles: DataFrame, context: str | None = "BTC", prefix: str = "BTC", trim: bool = True) -> DataFrame:
