@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, id_col
     n_members = members.count()
     cold = members.where(f"n <= {HOT_KEY}").select("key", "rep").join(reps.hint("merge"), "rep")
     parts = parts_for(n_members * 140, 8 << 20)
-    edges = cold.withColumn("bucket", F.pmod("key", F.lit(parts * 4))).groupBy("bucket").applyInArrow(cold_keys, "a bigint, b bigint")
+    edges = cold.withColumn("bucket", F.pmod("key", F.lit(parts * 4))).groupBy("bucket").applyInArrow(K.released(cold_keys), "a bigint, b bigint")
     clusters = written(components(edges.unionByName(hot), "nd-candidates"), "nd-clusters")
     # exact confirmation: each member's text goes to its cluster, large clusters in pairs of blocks
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, id_col
     texts = docs.where("doc_id is not null").join(placed.hint("merge"), docs["doc_id"] == placed["rep"]).drop("doc_id")
     parts = parts_for(clusters.count() * 4000, 8 << 20)
     group = F.when(F.col("slot") < 0, F.pmod(F.xxhash64("cluster"), F.lit(parts * 4))).otherwise(F.xxhash64("cluster", "slot"))
-    links = texts.withColumn("task", group).groupBy("task").applyInArrow(exact_links(shingle, percent), "a bigint, b bigint")
+    links = texts.withColumn("task", group).groupBy("task").applyInArrow(K.released(exact_links(shingle, percent)), "a bigint, b bigint")
     found = components(links, "nd-links")
     named = classes.join(found, classes["rep"] == found["node"], "left").select("dig_a", "dig_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = feats.select("doc_id", "n_shingles", "dig_a", "dig_b").join(named, ["dig_a", "dig_b", "n_shingles"], "left")

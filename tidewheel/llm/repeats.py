@@ -119,7 +119,7 @@ def shards_for(size: int, each: int = 8 << 20) -> int:
     return parts_for(size, each) | 1
 
 
-def anchor_rows(u: Units, buckets: int, shards: int, flush: int = 1 << 20):
+def anchor_rows(u: Units, buckets: int, shards: int, flush: int = 1 << 18):
     """Map documents to (bucket, fingerprints, ids): one entry for each anchor hash of up to `flush` anchors.
 
     An anchor met more than once here is known to repeat: its documents and codes
@@ -163,8 +163,11 @@ def anchor_rows(u: Units, buckets: int, shards: int, flush: int = 1 << 20):
             if held >= flush:
                 yield from out(np.concatenate(codes), np.concatenate(ids))
                 codes, ids, held = [], [], 0
+                K.trim()
         if held:
             yield from out(np.concatenate(codes), np.concatenate(ids))
+        del codes, ids
+        K.trim()
 
     return run
 
@@ -585,10 +588,10 @@ def remove_repeats(docs: DataFrame, u: Units, candidates: DataFrame, buckets: in
     none = F.lit(None).cast("binary")
     left = docs.select(place, "doc_id", F.xxhash64("text").alias("th"), "text", "rest", none.alias("codes"), none.alias("ids"))
     right = candidates.select("shard", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("th"), *(F.lit(None).cast("string").alias(c) for c in ("text", "rest")), "codes", "ids")
-    out = written(left.unionByName(right).groupBy("shard").applyInArrow(shard_rows(u, buckets, merges, keep_text), SHARD), "repeat-shards")
-    found = out.where("kind = 1").select("bucket", "meta", "payload").groupBy("bucket").applyInArrow(merge_rows(u, shards), "shard int, cover binary")
+    out = written(left.unionByName(right).groupBy("shard").applyInArrow(K.released(shard_rows(u, buckets, merges, keep_text)), SHARD), "repeat-shards")
+    found = out.where("kind = 1").select("bucket", "meta", "payload").groupBy("bucket").applyInArrow(K.released(merge_rows(u, shards)), "shard int, cover binary")
     waiting = out.where("kind = 2").select(place, "doc_id", "th", "zipped", "cover", "rest")
     empty = [F.lit(None).cast("bigint").alias(c) for c in ("doc_id", "th")]
     both = waiting.unionByName(found.select("shard", *empty, none.alias("zipped"), "cover", F.lit(None).cast("string").alias("rest")))
-    done = both.groupBy("shard").applyInArrow(finish_rows(u, keep_text), RESULT)
+    done = both.groupBy("shard").applyInArrow(K.released(finish_rows(u, keep_text)), RESULT)
     return out.where("kind = 0").select(*done.columns).unionByName(done)
