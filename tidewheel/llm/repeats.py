@@ -588,7 +588,7 @@ def remove_repeats(docs: DataFrame, u: Units, candidates: DataFrame, buckets: in
     none = F.lit(None).cast("binary")
     left = docs.select(place, "doc_id", F.xxhash64("text").alias("th"), "text", "rest", none.alias("codes"), none.alias("ids"))
     right = candidates.select("shard", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("th"), *(F.lit(None).cast("string").alias(c) for c in ("text", "rest")), "codes", "ids")
-    out = written(left.unionByName(right).groupBy("shard").applyInArrow(K.released(shard_rows(u, buckets, merges, keep_text)), SHARD), "repeat-shards")
+    out = written(left.unionByName(right).groupBy("shard").applyInArrow(K.released(shard_rows(u, buckets, merges, keep_text)), SHARD), "repeat-shards", release=True)
     found = out.where("kind = 1").select("bucket", "meta", "payload").groupBy("bucket").applyInArrow(K.released(merge_rows(u, shards)), "shard int, cover binary")
     waiting = out.where("kind = 2").select(place, "doc_id", "th", "zipped", "cover", "rest")
     empty = [F.lit(None).cast("bigint").alias(c) for c in ("doc_id", "th")]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,13 +30,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
+def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage is cut and lost executors cost nothing.
+
+    release: have what was shuffled for it deleted, which else waits for the driver to collect its garbage.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    # what was shuffled for it is not needed any more, but goes only when the driver collects its garbage
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if release:
+        time.sleep(0.5)  # the end of the write has to reach its listeners, which hold its plan
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
