@@ -12,7 +12,7 @@ from tidewheel.llm.repeats import ANCHOR_SCHEMA, CODES, NO_CODES, Units, anchor_
 from tidewheel.llm.store import parts_for, text_bytes, written
 
 #: text of a shard: sorting its suffixes takes up to a hundred times as much memory
-SHARD_BYTES = 5 << 20
+SHARD_BYTES = 8 << 20
 
 
 def repeated_codes(shards: int):
@@ -47,7 +47,7 @@ def suffix_dedup(docs: DataFrame, width: int = 100, keep_text: bool = False, car
     docs = carried(docs, carry or [])
     u = Units("bytes", width, 32, "suffix")
     _, size = text_bytes(docs)
-    buckets, shards = parts_for(size, 32 << 20), shards_for(size, SHARD_BYTES)
+    buckets, shards = parts_for(size, 64 << 20), shards_for(size, SHARD_BYTES)
     met = written(docs.select("doc_id", "text").mapInArrow(anchor_rows(u, buckets, shards), ANCHOR_SCHEMA), "suffix-anchors")
     known = met.where("bucket is null").select("shard", "codes", "ids")
     found = met.where("bucket is not null").select("bucket", "codes", "ids").groupBy("bucket").applyInArrow(repeated_codes(shards), CODES)
