@@ -106,15 +106,10 @@ def ids_of(column) -> np.ndarray:
 
 
 def shard_of(ids: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of a document; shard_column says the same in Spark."""
+    """The shard of a document."""
     return (ids ^ (ids >> 17)) % shards
 
 
-def shard_column(shards: int):
-    key = F.coalesce(F.col("doc_id"), F.lit(LAST))
-    return F.pmod(key.bitwiseXOR(F.shiftright(key, 17)), F.lit(shards)).cast("int").alias("shard")
-
-
 def shards_for(size: int, each: int = 8 << 20) -> int:
     return parts_for(size, each) | 1
 
@@ -203,6 +198,40 @@ def unpacked(raw: bytes) -> bytes:
     return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
 
 
+#: documents travel as compressed record batches: far fewer bytes on disk than as rows
+DOC = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("text", pa.large_string()), ("rest", pa.large_string()), ("cover", pa.large_binary())])
+PACK = "shard int, pack binary, codes binary, ids binary"
+
+
+def bundled(rows: pa.Table) -> bytes:
+    """Rows of DOC as one blob."""
+    return packed(pa.concat_batches(rows.to_batches()).serialize().to_pybytes())
+
+
+def unbundled(raw: bytes) -> pa.RecordBatch:
+    return pa.ipc.read_record_batch(pa.py_buffer(unpacked(raw)), DOC)
+
+
+def doc_rows(shards: int):
+    """Map documents to rows with their shard and those of its documents that came in one Arrow batch."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            docs = pa.Table.from_batches([b]).append_column("cover", pa.nulls(b.num_rows, pa.large_binary())).select(DOC.names).cast(DOC)
+            shard = shard_of(ids_of(docs.column("doc_id")), shards)
+            order = np.argsort(shard, kind="stable")
+            p = shard[order]
+            cuts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1], [True]]))
+            packs = [bundled(docs.take(pa.array(order[i:j]))) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            none = pa.nulls(len(packs), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(p[cuts[:-1]].astype(np.int32)), pa.array(packs, pa.binary()), none, none], ["shard", "pack", "codes", "ids"])
+        K.trim()
+
+    return run
+
+
 def suffix_groups(seg: np.ndarray, width: int):
     """Suffix array of the bytes and, by place in it, the prefix length (up to `width`) shared with the suffix before.
 
@@ -359,7 +388,9 @@ def result_of(u: Units, data: np.ndarray, cover: list[tuple[np.ndarray, np.ndarr
 
 
 RESULT = "doc_id bigint, th bigint, n_units bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string, rest string"
-SHARD = f"kind int, bucket int, meta binary, payload binary, {RESULT}, zipped binary, cover binary"
+SHARD = f"kind int, bucket int, meta binary, payload binary, {RESULT}, pack binary"
+#: text of waiting documents in one blob
+WAITING_BYTES = 1 << 20
 META = np.dtype([("doc", "<i8"), ("th", "<i8"), ("start", "<i8"), ("n", "<i4"), ("size", "<i4")])
 FOUND = np.dtype([("doc", "<i8"), ("th", "<i8"), ("start", "<i8"), ("n", "<i4")])
 COVER = np.dtype([("start", "<i8"), ("n", "<i8")])
@@ -372,12 +403,16 @@ def cover_blob(start, n) -> bytes:
 
 
 def shard_rows(u: Units, buckets: int, merge_buckets: int, keep_text: bool):
-    """Work on one shard: documents and their candidate codes in; finished rows, pieces and waiting documents out."""
+    """Work on one shard: documents and their candidate codes in; finished rows, pieces and waiting documents out.
+
+    The bucket of a waiting row is its shard.
+    """
     names = [x.split()[0] for x in SHARD.split(", ")]
 
     def run(table: pa.Table) -> pa.Table:
-        is_doc = pa.compute.is_valid(table.column("th"))
-        cand, docs = table.filter(pa.compute.invert(is_doc)), table.filter(is_doc)
+        shard = table.column("shard")[0].as_py()
+        cand = table.filter(pa.compute.is_null(table.column("pack"))).select(["codes", "ids"])
+        docs = pa.Table.from_batches([unbundled(x) for x in table.column("pack").drop_null().to_pylist()], DOC)
         docs = docs.sort_by([("doc_id", "ascending"), ("th", "ascending")])
         ids = ids_of(docs.column("doc_id"))
         ths = docs.column("th").to_numpy()
@@ -418,14 +453,17 @@ def shard_rows(u: Units, buckets: int, merge_buckets: int, keep_text: bool):
 
         for b, meta, payload in pieces(merge_buckets, ids, ths):
             add(kind=1, bucket=b, meta=packed(meta), payload=packed(payload))
+        for i, j in K.cut(np.concatenate([[0], np.cumsum(np.diff(offsets)[pend])]), WAITING_BYTES):
+            covers = [cover_blob(*cover[d]) if d in cover else b"" for d in pend[i:j].tolist()]
+            held = docs.take(pa.array(pend[i:j])).set_column(DOC.get_field_index("cover"), DOC.field("cover"), pa.array(covers, pa.large_binary()))
+            add(kind=2, bucket=shard, pack=bundled(held))
         waiting = set(pend.tolist())
         rests = docs.column("rest")
         for i in range(n):
-            own = cover.get(i)
-            who = {"doc_id": None if ids[i] == LAST else int(ids[i]), "th": int(ths[i]), "rest": rests[i].as_py()}
             if i in waiting:
-                add(kind=2, zipped=packed(data[offsets[i] : offsets[i + 1]].tobytes()), cover=cover_blob(*own) if own else b"", **who)
                 continue
+            own = cover.get(i)
+            who = {"doc_id": None if ids[i] == LAST else int(ids[i]), "th": int(ths[i]), "rest": rests[i].as_py()}
             total, gone, n_spans, sha, kept = result_of(u, data[offsets[i] : offsets[i + 1]], [own] if own else [], keep_text)
             add(kind=0, n_units=total, n_removed=gone, n_spans=n_spans, kept_sha256=sha, kept_text=kept, **who)
         return pa.table({k: pa.array(rows[k], t) for k, t in zip(names, SHARD_TYPES, strict=True)})
@@ -433,7 +471,7 @@ def shard_rows(u: Units, buckets: int, merge_buckets: int, keep_text: bool):
     return run
 
 
-SHARD_TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary()]
+SHARD_TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
 
 
 def flat(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -560,21 +598,23 @@ def finish_rows(u: Units, keep_text: bool):
     names = [x.split()[0] for x in RESULT.split(", ")]
 
     def run(table: pa.Table) -> pa.Table:
-        late = table.filter(pa.compute.is_null(table.column("zipped")))
+        late = table.filter(pa.compute.is_null(table.column("pack")))
         hits = np.frombuffer(b"".join(unpacked(x) for x in late.column("cover").to_pylist()), FOUND)
         hits = hits[np.lexsort((hits["th"], hits["doc"]))]
         new = (hits["doc"][1:] != hits["doc"][:-1]) | (hits["th"][1:] != hits["th"][:-1])
         cuts = np.flatnonzero(np.concatenate([[True], new, [True]])) if len(hits) else np.zeros(1, np.int64)
         found = {(int(hits["doc"][x]), int(hits["th"][x])): (x, y) for x, y in zip(cuts[:-1], cuts[1:], strict=True)}
         rows = []
-        docs = table.filter(pa.compute.is_valid(table.column("zipped")))
-        for d, t, text, c, rest in zip(*(docs.column(k).to_pylist() for k in ("doc_id", "th", "zipped", "cover", "rest")), strict=True):
-            own = np.frombuffer(c, COVER)
-            cover = [(own["start"], own["n"])]
-            if (span := found.get((LAST if d is None else d, t))) is not None:
-                x = hits[span[0] : span[1]]
-                cover.append((x["start"], x["n"].astype(np.int64)))
-            rows.append((d, t, *result_of(u, np.frombuffer(unpacked(text), np.uint8), cover, keep_text), rest))
+        for raw in table.column("pack").drop_null().to_pylist():
+            docs = unbundled(raw)
+            data, offsets = K.buffers(docs.column("text"))
+            for i, (d, t, c, rest) in enumerate(zip(*(docs.column(k).to_pylist() for k in ("doc_id", "th", "cover", "rest")), strict=True)):
+                own = np.frombuffer(c, COVER)
+                cover = [(own["start"], own["n"])]
+                if (span := found.get((LAST if d is None else d, t))) is not None:
+                    x = hits[span[0] : span[1]]
+                    cover.append((x["start"], x["n"].astype(np.int64)))
+                rows.append((d, t, *result_of(u, data[offsets[i] : offsets[i + 1]], cover, keep_text), rest))
         cols = list(zip(*rows, strict=True)) or [[]] * len(names)
         return pa.table({k: pa.array(list(c), ty) for k, c, ty in zip(names, cols, SHARD_TYPES[4:12], strict=True)})
 
@@ -584,14 +624,12 @@ def finish_rows(u: Units, keep_text: bool):
 def remove_repeats(docs: DataFrame, u: Units, candidates: DataFrame, buckets: int, shards: int, size: int, keep_text: bool) -> DataFrame:
     """Steps 2 to 4 of the module's account.  docs: doc_id, text (not null), rest (carried along); candidates: CODES; size: bytes of text."""
     merges = parts_for(size, 8 << 20)
-    place = shard_column(shards)
     none = F.lit(None).cast("binary")
-    left = docs.select(place, "doc_id", F.xxhash64("text").alias("th"), "text", "rest", none.alias("codes"), none.alias("ids"))
-    right = candidates.select("shard", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("th"), *(F.lit(None).cast("string").alias(c) for c in ("text", "rest")), "codes", "ids")
+    left = docs.select("doc_id", F.xxhash64("text").alias("th"), "text", "rest").mapInArrow(doc_rows(shards), PACK)
+    right = candidates.select("shard", none.alias("pack"), "codes", "ids")
     out = written(left.unionByName(right).groupBy("shard").applyInArrow(K.released(shard_rows(u, buckets, merges, keep_text)), SHARD), "repeat-shards", release=True)
     found = out.where("kind = 1").select("bucket", "meta", "payload").groupBy("bucket").applyInArrow(K.released(merge_rows(u, shards)), "shard int, cover binary")
-    waiting = out.where("kind = 2").select(place, "doc_id", "th", "zipped", "cover", "rest")
-    empty = [F.lit(None).cast("bigint").alias(c) for c in ("doc_id", "th")]
-    both = waiting.unionByName(found.select("shard", *empty, none.alias("zipped"), "cover", F.lit(None).cast("string").alias("rest")))
+    waiting = out.where("kind = 2").select(F.col("bucket").alias("shard"), "pack", none.alias("cover"))
+    both = waiting.unionByName(found.select("shard", none.alias("pack"), "cover"))
     done = both.groupBy("shard").applyInArrow(K.released(finish_rows(u, keep_text)), RESULT)
     return out.where("kind = 0").select(*done.columns).unionByName(done)
