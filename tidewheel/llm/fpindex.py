@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from tidewheel.llm import kernels as K
 from tidewheel.llm.repeats import ANCHOR_SCHEMA, Units, anchor_rows, carried, packed_codes, remove_repeats, shards_for
-from tidewheel.llm.store import new_path, parts_for, text_bytes, written
+from tidewheel.llm.store import new_path, parts_for, releasing, text_bytes, written
 
 RUN = "bucket int, fps binary, ids binary"
 #: runs beside which a new one makes the index compact itself
@@ -94,7 +94,8 @@ class FingerprintIndex:
     def _add(self, df: DataFrame) -> str:
         path = f"{self.path}/run-{self.made:05d}"
         self.made += 1
-        df.write.option("compression", "zstd").parquet(path)
+        with releasing(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         return path
 
     def _read(self, path: str) -> DataFrame:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,17 +29,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage is cut and lost executors cost nothing.
+@contextmanager
+def releasing(spark: SparkSession):
+    """Shuffle files of what is written inside are deleted as soon as the write has ended, not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
 
-    release: have what was shuffled for it deleted, which else waits for the driver to collect its garbage.
-    """
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    if release:
-        time.sleep(0.5)  # the end of the write has to reach its listeners, which hold its plan
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    with releasing(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
