@@ -108,3 +108,21 @@ def test_held_out_quality(spark):
     assert good and bad
     assert sum((g > b) + 0.5 * (g == b) for g in good for b in bad) >= 0.95 * len(good) * len(bad)
     assert all(r["predicted"] == (r["score"] >= 0.3) for r in held)
+
+
+@pytest.mark.parametrize(("share", "split", "block", "hot"), [(512, 8, 4096, 2000), (4, 3, 16, 2000), (4, 8, 5, 6)])
+def test_split_clusters(spark, monkeypatch, share, split, block, hot):
+    """A chain whose ends are not alike, a large group and a bridge, whatever blocks the candidates fall into."""
+    from tidewheel.llm import neardup
+
+    for name, value in (("SHARE", share), ("SPLIT", split), ("BLOCK", block), ("HOT_KEY", hot)):
+        monkeypatch.setattr(neardup, name, value)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(f"n{i}" if i < 3 * j else w for i, w in enumerate(base)) for j in range(40)]
+    texts += [" ".join(f"g{i}" for i in range(100)) + f" end{j}" for j in range(30)] + ["alone " * 3, "x y z"]
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+    low = list(range(len(texts)))
+    for _ in low:  # smallest id reachable
+        low = [min(low[j] for j, b in enumerate(sets) if 100 * len(a & b) >= 85 * len(a | b)) for a in sets]
+    out = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), shingle=3, percent=85)
+    assert {r["doc_id"]: r["component_id"] for r in out.collect()} == dict(enumerate(low))

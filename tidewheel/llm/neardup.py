@@ -19,8 +19,10 @@ SIGNATURE = CHUNKS * SYMBOLS
 DISTANCE = 2 * CHUNKS - 1
 #: a key with more members than this links all of them to its smallest as candidates
 HOT_KEY = 2000
-#: documents compared at once in a candidate cluster
+#: documents of a candidate cluster in one block at most
 BLOCK = 4096
+#: a cluster of more documents than this is split for parallel work, into SPLIT blocks of that size before blocks grow
+SHARE, SPLIT = 512, 8
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, k: int):
@@ -263,7 +265,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, id_col
     clusters = written(components(edges.unionByName(hot), "nd-candidates"), "nd-clusters")
     # exact confirmation: each member's text goes to its cluster, large clusters in pairs of blocks
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    placed = clusters.join(sizes, "component").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    # a member's text travels once for each block of its cluster: at most SPLIT times up to SPLIT * BLOCK members
+    wanted = F.greatest(F.least(F.ceil(F.col("members") / SHARE), F.lit(SPLIT)), F.ceil(F.col("members") / BLOCK))
+    placed = clusters.join(sizes, "component").withColumn("blocks", wanted.cast("int"))
     placed = placed.withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(0).cast("int"))
     one = F.array(F.struct(F.lit(-1).alias("slot"), F.lit(-1).alias("side")))
     i, n = F.col("block"), F.col("blocks")
