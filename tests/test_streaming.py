@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from tidewheel.sources.candles import read_or_empty
 from tidewheel.streaming.ticker import FIELDS, append_candles, merged_batch, merged_stream, messages, sampled
 
 LINES = [
@@ -49,3 +50,13 @@ def test_incremental_candles(spark, tmp_path):
 
     assert run([("A", "2024-01-31 22:00:00", 1.0), ("A", "2024-01-31 23:00:00", 2.0)]) == [("A", 22, 1.0), ("A", 23, 2.0)]
     assert run([("A", "2024-01-31 23:00:00", 3.0), ("A", "2024-02-01 00:00:00", 4.0)]) == [("A", 0, 4.0), ("A", 22, 1.0), ("A", 23, 3.0)]
+
+
+def test_read_or_empty(spark, tmp_path):
+    """Only a table that is not there yet is empty; one that cannot be read raises."""
+    schema = "symbol string, month string"
+    assert read_or_empty(spark, f"{tmp_path}/none", schema).count() == 0
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_bytes(b"no parquet file")
+    with pytest.raises(Exception, match="FAILED_READ_FILE|not a Parquet file"):
+        read_or_empty(spark, f"{tmp_path}/bad", schema).count()

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewheel import sinks
 from tidewheel.ml import evaluate, prepare
 from tidewheel.operators import indicators, mapping, quality, structure
 from tidewheel.oracle import sql as S
@@ -225,6 +226,13 @@ add("win27_lookback", lambda s, d: show(quality.lookback(hourly(s, d), 100), ["c
 add("src19_last_times", lambda s, d: last_times(hourly(s, d)).select("symbol", bar("first_ts").alias("first_bar"), bar("last_ts").alias("last_bar")), f"WITH {S.CANDLES} SELECT symbol, min({_hr('ts')}) AS first_bar, max({_hr('ts')}) AS last_bar FROM candles GROUP BY symbol")
 add("snk04_merge", lambda s, d: show(quality.merge_tables(hourly(s, d), hourly(s, d).withColumn("close", F.col("close") + 1).withColumn("ts", F.expr("ts + interval 1 hour"))), ["close"]),
     final(f"{S.CANDLES}, n AS (SELECT symbol, ts, close, 0 AS p FROM candles UNION ALL SELECT symbol, ts + INTERVAL 1 HOUR, close + 1, 1 FROM candles), f AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY p) = 1)", ["close"]))
+add("val14_summary", lambda s, d: quality.summary(dirty(s, d)).select("symbol", "row_count", bar("start_ts").alias("start_bar"), bar("end_ts").alias("end_bar"), "coverage"),
+    f"WITH {DIRTY} SELECT symbol, count(*) AS row_count, min({_hr('ts')}) AS start_bar, max({_hr('ts')}) AS end_bar, round(count(*) * 100.0 / (max({_hr('ts')}) - min({_hr('ts')}) + 1), 3) AS coverage FROM dirty WHERE ts IS NOT NULL GROUP BY symbol")
+add("ing07_replaced_rows", lambda s, d: show(quality.replace_rows(hourly(s, d), hourly(s, d).where("hour(ts) % 5 = 0").withColumn("close", F.col("close") + 1)), ["close"]),
+    final(f"{S.CANDLES}, f AS (SELECT * REPLACE (CASE WHEN hour(ts) % 5 = 0 THEN close + 1 ELSE close END AS close) FROM candles)", ["close"]))
+add("snk05_tail_dropped", lambda s, d: show(sinks.drop_tail(hourly(s, d)), ["close"]), final(f"{S.CANDLES}, f AS (SELECT * FROM candles QUALIFY ts < max(ts) OVER (PARTITION BY symbol))", ["close"]))
+add("snk07_summary", lambda s, d: sinks.feature_summary(hourly(s, d)).select("symbol", "n_rows", bar("first_ts").alias("first_bar"), bar("last_ts").alias("last_bar"), F.col("n_columns").cast("bigint").alias("n_columns")),
+    f"WITH {S.CANDLES} SELECT symbol, count(*) AS n_rows, min({_hr('ts')}) AS first_bar, max({_hr('ts')}) AS last_bar, CAST(9 AS BIGINT) AS n_columns FROM candles GROUP BY symbol")
 add("agg03_daily", lambda s, d: show(daily(s, d), _num, ["trades"], 4), final(S.DAILY, _num, ["trades"], source="candles", digits=4))
 
 
@@ -242,6 +250,9 @@ add("src10_klines", lambda s, d: show(parse_klines(klines(s, d)), ["open", "high
 
 _t = {f"log_return_{h}d": f"ln(CASE WHEN lead(close, {h}) OVER w > 0 AND close > 0 THEN lead(close, {h}) OVER w / close END)" for h in prepare.HORIZONS}
 feature("win24_targets", lambda c: prepare.targets(c, steps_per_day=1, check=False), list(_t), [], simple(_t, source=S.DAILY), daily)
+_ok = ["log_return_7d", "log_return_30d"]
+add("ml02_valid_rows", lambda s, d: show(prepare.valid_rows(prepare.targets(daily(s, d), steps_per_day=1, check=False), _ok[:1], _ok[1]), _ok),
+    final(f"{S.DAILY}, f AS (SELECT * FROM (SELECT symbol, ts, {', '.join(f'{x} AS {k}' for k, x in _t.items() if k in _ok)} FROM candles {W()}) WHERE {' AND '.join(f'{k} IS NOT NULL' for k in _ok)})", _ok))
 add("seq05_folds", lambda s, d: prepare.fold_table(daily(s, d).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))).select("symbol", F.col("fold").cast("bigint").alias("fold"), "train_end", "val_start", "val_end"),
     f"WITH {S.DAILY}, z AS (SELECT symbol, count(*) AS n, CAST(floor(count(*) * 0.6) AS BIGINT) AS t, CAST(floor(count(*) * 0.1) AS BIGINT) AS v FROM candles GROUP BY symbol), g AS (SELECT symbol, t, v, unnest(range(0, 20)) AS k, n FROM z) SELECT symbol, k AS fold, t + k * v AS train_end, t + k * v AS val_start, t + k * v + v AS val_end FROM g WHERE t + k * v + v <= n")
 add("jn11_folded_rows", lambda s, d: prepare.folded(daily(s, d), prepare.fold_table(daily(s, d).groupBy("symbol").agg(F.count(F.lit(1)).alias("n")))).groupBy("symbol", "fold", "part").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("close"), 2).alias("total")).withColumn("fold", F.col("fold").cast("bigint")),
@@ -295,6 +306,23 @@ _lo = lambda c: f"coalesce(1 - ({c} - min({c}) OVER ()) / nullif(max({c}) OVER (
 _up = lambda c: f"coalesce(({c} - min({c}) OVER ()) / nullif(max({c}) OVER () - min({c}) OVER (), 0), 1.0)"
 add("evl05_selection", scored, f"WITH {PREDICTED}, {METRICS}, x AS (SELECT *, abs(picp - 0.9) AS miss, CAST(ascii(symbol) AS DOUBLE) AS secs FROM m), y AS (SELECT symbol, 0.4 * ({_lo('rmse')} + {_lo('mae')}) / 2 + 0.35 * ({_lo('miss')} + {_lo('mpiw')}) / 2 + 0.2 * {_up('direction_accuracy')} + 0.05 * {_lo('secs')} AS score FROM x) SELECT 'all' AS coin, symbol AS model, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, symbol) AS place, row_number() OVER (ORDER BY score DESC, symbol) = 1 AS is_winner FROM y")
 
+
+
+def averaged(s, d):
+    """The baseline's metrics by year, averaged as over folds."""
+    m = evaluate.metrics(predicted(s, d).withColumn("fold", F.year("ts")), ["symbol", "fold"])
+    m = m.withColumns({"training_time_seconds": F.col("fold") * 0.5, "model_size_bytes": F.col("fold").cast("bigint") * 10})
+    return evaluate.average_folds(m, ["symbol"], "fold")
+
+
+_av = [c for c in _mc if c != "mape"]
+AVERAGED = f"""{METRICS.replace("SELECT symbol,", "SELECT symbol, year(ts) AS fold,").replace("GROUP BY symbol", "GROUP BY symbol, fold")},
+  av AS (SELECT symbol, {", ".join(f"avg({c}) AS {c}" for c in _av)}, sum(fold * 0.5) AS training_time_seconds, CAST(max(fold) * 10 AS BIGINT) AS model_size_bytes FROM m GROUP BY symbol)"""
+add("agg12_fold_average", lambda s, d: averaged(s, d).select("symbol", *(F.round(c, 6).alias(c) for c in _av), "training_time_seconds", "model_size_bytes"),
+    f"WITH {PREDICTED}, {AVERAGED} SELECT symbol, {', '.join(f'round({c}, 6) AS {c}' for c in _av)}, CAST(training_time_seconds AS DOUBLE) AS training_time_seconds, model_size_bytes FROM av")
+add("sel01_winner", lambda s, d: evaluate.ranked(evaluate.composite_score(averaged(s, d).withColumns({"coin": F.lit("all"), "model": F.col("symbol")}), ["coin"]), ["coin"]).where("is_winner").select("coin", "model", F.round("score", 6).alias("score")),
+    f"WITH {PREDICTED}, {AVERAGED}, x AS (SELECT *, abs(picp - 0.9) AS miss FROM av), y AS (SELECT symbol, 0.4 * ({_lo('rmse')} + {_lo('mae')}) / 2 + 0.35 * ({_lo('miss')} + {_lo('mpiw')}) / 2 + 0.2 * {_up('direction_accuracy')} + 0.05 * {_lo('training_time_seconds')} AS score FROM x) SELECT 'all' AS coin, symbol AS model, round(score, 6) AS score FROM y ORDER BY score DESC, symbol LIMIT 1")
+
 # ---- mapping ----------------------------------------------------------------------------------------------------
 
 PRIORITY = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
@@ -330,6 +358,7 @@ MAPPED = """rk AS (SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey)
     CASE WHEN NOT skip THEN market END AS market, CASE WHEN NOT skip THEN quote END AS quote, CASE WHEN NOT skip THEN available_markets END AS available_markets FROM sc)"""
 add("scl12_mapping", mapped, f"WITH {MAPPED} SELECT * FROM mapped")
 add("srt04_best_market", lambda s, d: mapping.best_markets(markets(s, d), PRIORITY).select("base", "symbol", "quote"), f"WITH {MAPPED} SELECT base, market AS symbol, quote FROM best")
+add("agg16_available_markets", lambda s, d: mapping.available(markets(s, d)), f"WITH {MAPPED} SELECT base, available_markets FROM av")
 add("agg01_status_counts", lambda s, d: mapping.status_counts(mapped(s, d)), f"WITH {MAPPED} SELECT status, count(*) AS n FROM mapped GROUP BY status")
 add("srt03_top_coins", lambda s, d: mapping.select_top(mapped(s, d), 50, ranking(s, d).where("rank % 2 = 0")).select("rank", "symbol", F.col("selection_order").cast("bigint").alias("selection_order"), "available"),
     f"WITH {MAPPED} SELECT rank, symbol, row_number() OVER (ORDER BY rank) AS selection_order, rank % 2 = 0 AS available FROM mapped WHERE status = 'READY' ORDER BY rank LIMIT 50")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.operators import quality
+from tidewheel.sources.candles import read_or_empty
 
 
 def write_table(df: DataFrame, path: str, by: tuple[str, ...] = ("symbol",), mode: str = "overwrite") -> None:
@@ -60,11 +61,7 @@ class Progress:
         self.spark, self.path = spark, path
 
     def done(self) -> DataFrame:
-        schema = "experiment string, symbol string, model string, status string, message string"
-        try:
-            return self.spark.read.schema(schema).parquet(self.path)
-        except Exception:
-            return self.spark.createDataFrame([], schema)
+        return read_or_empty(self.spark, self.path, "experiment string, symbol string, model string, status string, message string")
 
     def add(self, experiment: str, symbol: str, model: str, status: str = "ok", message: str = "") -> None:
         self.spark.createDataFrame([(experiment, symbol, model, status, message)], self.done().schema).coalesce(1).write.mode("append").parquet(self.path)

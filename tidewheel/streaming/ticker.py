@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewheel.operators.quality import merge_tables
+from tidewheel.sources.candles import read_or_empty
+
 #: field names differ in case alone, so the data are a map
 ENVELOPE = "stream string, data map<string, string>"
 MINI = {"last_price": "c", "open": "o", "high": "h", "low": "l", "volume": "v", "quote_volume": "q"}
@@ -74,22 +77,15 @@ def append_candles(batches: DataFrame, path: str, checkpoint: str, hours: int =
 
     The last bar of the table is written again with its new values, never dropped.
     """
-    from tidewheel.operators.quality import merge_tables
-
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         new = batch.withColumn("month", F.date_format("ts", "yyyy-MM"))
         months = [r["month"] for r in new.select("month").distinct().collect()]
         if not months:
             return
-        try:
-            old = spark.read.parquet(path).where(F.col("month").isin(months))
-        except Exception:
-            old = new.limit(0)
-        # read what is overwritten before it goes
-        both = merge_tables(old.select(new.columns), new, prefer_new=True).persist()
-        both.count()
+        old = read_or_empty(spark, path, new.schema).where(F.col("month").isin(months))
+        # files that are replaced stay until the write commits, so lost tasks can read them again
+        both = merge_tables(old.select(new.columns), new, prefer_new=True)
         both.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
-        both.unpersist()
 
     return batches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
