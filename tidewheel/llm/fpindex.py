@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidewheel.llm import kernels as K
-from tidewheel.llm.repeats import ANCHOR_SCHEMA, Units, anchor_rows, carried, packed_codes, remove_repeats, shards_for
+from tidewheel.llm.repeats import ANCHOR_SCHEMA, KNOWN, Units, anchor_rows, carried, packed_codes, remove_repeats, shards_for
 from tidewheel.llm.store import new_path, parts_for, releasing, text_bytes, written
 
 RUN = "bucket int, fps binary, ids binary"
@@ -20,12 +20,12 @@ FANOUT = 3
 
 
 def sorted_run(fp: np.ndarray, ids: np.ndarray):
-    """One entry for each fingerprint, sorted; -1 if it is already known to repeat."""
+    """One entry for each fingerprint, sorted; KNOWN if it is already known to repeat."""
     order = np.lexsort((ids, fp))
     f, d = fp[order], ids[order]
     first = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]])) if len(f) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(f)))
-    return f[first], np.where(size > 1, -1, d[first])
+    return f[first], np.where(size > 1, KNOWN, d[first])
 
 
 def entries(table: pa.Table, rows: np.ndarray):
@@ -45,7 +45,7 @@ def merge_join(shards: int):
         age = table.column("age").to_numpy()
         fp, ids = entries(table, np.flatnonzero(age < 0))
         inside = K.repeated(fp)
-        hits_c, hits_d = [fp[inside & (ids >= 0)]], [ids[inside & (ids >= 0)]]
+        hits_c, hits_d = [fp[inside & (ids != KNOWN)]], [ids[inside & (ids != KNOWN)]]
         f, d = sorted_run(fp, ids)
         old = np.zeros(len(f), bool)
         for a in np.unique(age[age >= 0]):
@@ -56,14 +56,14 @@ def merge_join(shards: int):
             met = hf[at] == f
             old |= met
             them = hd[at[met]]
-            hits_c.append(f[met][them >= 0])
-            hits_d.append(them[them >= 0])
-        own = old & (d >= 0)
+            hits_c.append(f[met][them != KNOWN])
+            hits_d.append(them[them != KNOWN])
+        own = old & (d != KNOWN)
         hits_c.append(f[own])
         hits_d.append(d[own])
         codes = (K.U64(bucket) << K.U64(32)) | np.concatenate(hits_c).astype(K.U64)
         # a fingerprint that an older run holds is now known to repeat; the run says so from here on
-        new = pa.table({"bucket": pa.array([bucket], pa.int32()), "shard": pa.nulls(1, pa.int32()), "codes": pa.array([f.astype("<u4").tobytes()], pa.binary()), "ids": pa.array([np.where(old, -1, d).astype("<i8").tobytes()], pa.binary())})
+        new = pa.table({"bucket": pa.array([bucket], pa.int32()), "shard": pa.nulls(1, pa.int32()), "codes": pa.array([f.astype("<u4").tobytes()], pa.binary()), "ids": pa.array([np.where(old, KNOWN, d).astype("<i8").tobytes()], pa.binary())})
         hits = [pa.table({"bucket": pa.nulls(b.num_rows, pa.int32())} | dict(zip(b.schema.names, b.columns, strict=True))) for b in packed_codes(codes, np.concatenate(hits_d), shards)]
         return pa.concat_tables([new, *hits])
 
@@ -80,7 +80,7 @@ class FingerprintIndex:
     """Sorted immutable runs of anchor fingerprints of all documents seen so far.
 
     A run is a Parquet table with one row for each bucket: fingerprints in order
-    and the document that had each first (-1: known to repeat).  `ingest` merge-joins a batch with the runs,
+    and the document that had each first (KNOWN: known to repeat).  `ingest` merge-joins a batch with the runs,
     adds a run and compacts when there are more than FANOUT.  What it returns are
     candidates; `remove_repeats` verifies them on text.
     """

@@ -32,6 +32,9 @@ from tidewheel.llm import kernels as K
 from tidewheel.llm.store import parts_for, written
 
 LAST = np.iinfo(np.int64).max
+#: in place of an anchor's document: the anchor is known to repeat.  A document that has this number as its id
+#: counts as known everywhere, and its codes are sent at once
+KNOWN = np.iinfo(np.int64).min
 U64 = K.U64
 
 
@@ -118,7 +121,7 @@ def anchor_rows(u: Units, buckets: int, shards: int, flush: int = 1 << 20):
     """Map documents to (bucket, fingerprints, ids): one entry for each anchor hash of up to `flush` anchors.
 
     An anchor met more than once here is known to repeat: its documents and codes
-    go to rows with their shard at once, and its entry carries the id -1.
+    go to rows with their shard at once, and its entry carries the id KNOWN.
     """
 
     def out(codes, ids):
@@ -126,9 +129,9 @@ def anchor_rows(u: Units, buckets: int, shards: int, flush: int = 1 << 20):
         c, d = codes[order], ids[order]
         first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
         size = np.diff(np.append(first, len(c)))
-        known = np.repeat(size > 1, size)
+        known = np.repeat(size > 1, size) | (d == KNOWN)
         yield from code_rows(c[known], d[known])
-        code, owner = c[first], np.where(size > 1, -1, d[first])
+        code, owner = c[first], np.where(size > 1, KNOWN, d[first])
         b = (code >> U64(32)).astype(np.int64)
         cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
         fp = (code & U64(0xFFFFFFFF)).astype("<u4")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidewheel.llm import kernels as K
-from tidewheel.llm.repeats import ANCHOR_SCHEMA, CODES, NO_CODES, Units, anchor_rows, carried, packed_codes, remove_repeats, shards_for
+from tidewheel.llm.repeats import ANCHOR_SCHEMA, CODES, KNOWN, NO_CODES, Units, anchor_rows, carried, packed_codes, remove_repeats, shards_for
 from tidewheel.llm.store import parts_for, text_bytes, written
 
 #: text of a shard: sorting its suffixes takes up to a hundred times as much memory
@@ -22,7 +22,7 @@ def repeated_codes(shards: int):
         bucket = table.column("bucket")[0].as_py()
         fp = K.buffers(table.column("codes"))[0].view("<u4")
         ids = K.buffers(table.column("ids"))[0].view("<i8")
-        hit = K.repeated(fp) & (ids >= 0)
+        hit = K.repeated(fp) & (ids != KNOWN)
         out = list(packed_codes((K.U64(bucket) << K.U64(32)) | fp[hit].astype(K.U64), ids[hit], shards))
         return pa.Table.from_batches(out) if out else pa.table(NO_CODES)
 
