@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from test_brute import digest, later_units
 
-from tidewheel.llm.fpindex import substring_dedup
+from tidewheel.llm.fpindex import FingerprintIndex, substring_dedup
+from tidewheel.llm.repeats import Units
 from tidewheel.llm.suffix import suffix_dedup
 
 LEAST = -(2**63)
@@ -40,3 +42,39 @@ def test_fingerprint_negative_ids(spark, signed):
     want = {d: (sum(gone[d]), digest(" ".join(x for x, g in zip(w, gone[d], strict=True) if not g).encode())) for d, w in raw}
     got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in substring_dedup(scattered(spark, signed), width=20).collect()}
     assert got == want and sum(w[0] > 0 for w in want.values()) == 4
+
+
+@pytest.fixture(scope="module")
+def chained():
+    """Documents 1 to 40; each holds a passage that returns 3, 11 and 27 ids later."""
+    rng = random.Random(6)
+    new = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    p = {i: new(30) for i in range(1, 41)}
+    return [(i, " ".join([new(5), *(p[j] for j in (i, i - 3, i - 11, i - 27) if j in p)])) for i in p]
+
+
+def test_compacted_index(spark, chained, monkeypatch):
+    raw = [(d, tuple(t.split())) for d, t in chained]
+    gone = later_units(raw, 20)
+    want = {d: (sum(gone[d]), digest(" ".join(x for x, g in zip(w, gone[d], strict=True) if not g).encode())) for d, w in raw}
+    merged, compact = [], FingerprintIndex.compact
+    monkeypatch.setattr(FingerprintIndex, "compact", lambda self: (merged.append(len(self.runs)), compact(self)))
+    for more in ({}, {"batches": 8}):
+        got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in substring_dedup(spark.createDataFrame(chained, "doc_id bigint, text string"), width=20, **more).collect()}
+        assert got == want and sum(w[0] > 0 for w in want.values()) > 30
+    assert merged == [4, 4, 4]
+
+
+def test_reopened_index(spark, chained, tmp_path):
+    u, docs = Units("words", 20, 5, "hash"), spark.createDataFrame(chained, "doc_id bigint, text string")
+    found = lambda df: sorted(x for r in df.collect() for x in zip(np.frombuffer(r["codes"], "<u8").tolist(), np.frombuffer(r["ids"], "<i8").tolist(), strict=True))
+    whole, kept = FingerprintIndex(spark, u, 3, 5), f"file://{tmp_path}/index"
+    for i in range(6):  # the fourth batch compacts
+        batch = docs.where(f"doc_id div 7 = {i}")
+        again = FingerprintIndex(spark, u, 3 if i == 0 else 99, 5, kept)
+        a, b = found(whole.ingest(batch)), found(again.ingest(batch))
+        assert a == b and (i == 0 or a)
+        assert len(again.runs) == len(whole.runs) == (1, 2, 3, 1, 2, 3)[i]
+    assert sorted(x.name for x in (tmp_path / "index").glob("run-*")) == [r.rsplit("/", 1)[1] for r in again.runs]
+    with pytest.raises(ValueError, match="other units"):
+        FingerprintIndex(spark, Units("words", 30, 5, "hash"), 3, 5, kept)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidewheel.llm import kernels as K
 from tidewheel.llm.repeats import ANCHOR_SCHEMA, KNOWN, Units, anchor_rows, carried, packed_codes, remove_repeats, shards_for
-from tidewheel.llm.store import new_path, parts_for, releasing, text_bytes, written
+from tidewheel.llm.store import deleted, new_path, parts_for, releasing, text_bytes, written
 
 RUN = "bucket int, fps binary, ids binary"
 #: runs beside which a new one makes the index compact itself
@@ -83,19 +86,44 @@ class FingerprintIndex:
     and the document that had each first (KNOWN: known to repeat).  `ingest` merge-joins a batch with the runs,
     adds a run and compacts when there are more than FANOUT.  What it returns are
     candidates; `remove_repeats` verifies them on text.
+
+    After each change a manifest with a higher number names the runs that count.
+    An index whose path has manifests goes on from the last one, with the buckets
+    it was made with.
     """
 
     def __init__(self, spark: SparkSession, units: Units, buckets: int, shards: int, path: str | None = None):
         self.spark, self.units, self.buckets, self.shards = spark, units, buckets, shards
         self.path = path or new_path(spark, "fp-index")
         self.runs: list[str] = []
-        self.made = 0
+        self.made = self.version = 0
+        if path:
+            self._load()
+
+    def _load(self) -> None:
+        try:
+            rows = self.spark.read.text(f"{self.path}/manifest-*").collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return
+        last = max((json.loads(r["value"]) for r in rows), key=lambda m: m["version"])
+        if last["units"] != asdict(self.units):
+            raise ValueError(f"the index at {self.path} is of other units: {last['units']}")
+        self.buckets, self.made, self.version = last["buckets"], last["made"], last["version"]
+        self.runs = [f"{self.path}/{name}" for name in last["runs"]]
+
+    def _save(self) -> None:
+        self.version += 1
+        names = [run.rsplit("/", 1)[1] for run in self.runs]
+        state = {"version": self.version, "made": self.made, "buckets": self.buckets, "units": asdict(self.units), "runs": names}
+        self.spark.range(1, numPartitions=1).select(F.lit(json.dumps(state)).alias("value")).write.text(f"{self.path}/manifest-{self.version:05d}")
 
     def _add(self, df: DataFrame) -> str:
         path = f"{self.path}/run-{self.made:05d}"
         self.made += 1
-        with releasing(self.spark):
-            df.write.option("compression", "zstd").parquet(path)
+        with releasing(self.spark):  # a run that no manifest names was left by a failed attempt
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return path
 
     def _read(self, path: str) -> DataFrame:
@@ -108,22 +136,27 @@ class FingerprintIndex:
         sides = [new, *(self._read(p).withColumn("age", F.lit(i)) for i, p in enumerate(self.runs))]
         joined = written(reduce(DataFrame.unionByName, sides).groupBy("bucket").applyInArrow(merge_join(self.shards), ANCHOR_SCHEMA), "fp-joined")
         self.runs.append(self._add(joined.where("bucket is not null").select("bucket", F.col("codes").alias("fps"), "ids")))
+        self._save()
         if len(self.runs) > FANOUT:
             self.compact()
         return met.where("bucket is null").unionByName(joined.where("bucket is null")).select("shard", "codes", "ids")
 
     def compact(self) -> None:
-        """Merge all runs into one."""
-        whole = reduce(DataFrame.unionByName, map(self._read, self.runs))
+        """Merge all runs into one and delete them."""
+        old = self.runs
+        whole = reduce(DataFrame.unionByName, map(self._read, old))
         self.runs = [self._add(whole.groupBy("bucket").applyInArrow(compacted, RUN))]
+        self._save()
+        for path in old:
+            deleted(self.spark, path)
 
 
-def substring_dedup(docs: DataFrame, width: int = 20, batches: int = 3, keep_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 20, batches: int = FANOUT + 2, keep_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """Remove every word covered by a window of `width` words that also starts earlier in the corpus.
 
     Documents go through a FingerprintIndex in `batches` ranges of doc_id, as they
     would come in over time; each batch is merge-joined with the runs of all
-    earlier ones.  The windows it finds are compared word by word.
+    earlier ones, the last one with a compacted run.  The windows it finds are compared word by word.
 
     Returns doc_id, n_words, n_removed, kept_sha256 (and kept_text and the
     columns to carry, if asked for), one row for each row of docs.  Null texts have no words; a null doc_id comes last in order and is in

@@ -41,6 +41,12 @@ def releasing(spark: SparkSession):
         spark.conf.set(key, was)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a table of our own."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
