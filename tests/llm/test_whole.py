@@ -6,6 +6,9 @@ import numpy as np
 import pytest
 from test_brute import digest, later_units
 
+from corpus_pipeline import leaks, near, passages, quality
+from tidewheel.llm import neardup
+from tidewheel.llm.decontam import contaminated
 from tidewheel.llm.fpindex import FingerprintIndex, substring_dedup
 from tidewheel.llm.repeats import Units
 from tidewheel.llm.suffix import suffix_dedup
@@ -78,3 +81,26 @@ def test_reopened_index(spark, chained, tmp_path):
     assert sorted(x.name for x in (tmp_path / "index").glob("run-*")) == [r.rsplit("/", 1)[1] for r in again.runs]
     with pytest.raises(ValueError, match="other units"):
         FingerprintIndex(spark, Units("words", 30, 5, "hash"), 3, 5, kept)
+
+
+def test_pairs_at_the_threshold(spark):
+    """Pairs with a similarity of just 0.80 whose signatures differ in more than 23 of 60 symbols."""
+    rng, far = random.Random(7), []
+    for _ in range(60):
+        pairs = []
+        for _ in range(500):
+            w = [f"w{rng.randrange(10**9)}" for _ in range(10)]
+            pairs.append((" ".join(w[:9]), " ".join(w[1:])))
+        data = [t.encode() for p in pairs for t in p]
+        h, d = neardup.sets_of(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), 1)
+        sig = neardup.signatures(h, d, len(data))
+        far += [pairs[i] for i in np.flatnonzero((sig[::2] != sig[1::2]).sum(1) > 23)]
+    assert far
+    out = neardup.near_duplicates(spark.createDataFrame([(i, t) for i, t in enumerate(t for p in far for t in p)], "doc_id bigint, text string"), shingle=1, percent=80)
+    assert {r["doc_id"]: r["component_id"] for r in out.collect()} == {i: i - i % 2 for i in range(2 * len(far))}
+
+
+def test_low_thresholds(spark):
+    assert all(neardup.miss_rate(neardup.chunks_for(p), p) <= neardup.MISS for p in range(65, 101))
+    with pytest.raises(ValueError, match="too low"):
+        neardup.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string"), percent=60)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,12 +13,10 @@ from tidewheel.llm import kernels as K
 from tidewheel.llm.components import components
 from tidewheel.llm.store import parts_for, text_bytes, written
 
-#: chunks x symbols per chunk; each symbol is a 16-bit MinHash value
-CHUNKS, SYMBOLS = 12, 5
-SIGNATURE = CHUNKS * SYMBOLS
-#: one wrong symbol is allowed in a chunk, so any pair that differs in at most
-#: 2 * CHUNKS - 1 symbols agrees on some chunk up to one symbol (pigeonhole)
-DISTANCE = 2 * CHUNKS - 1
+#: symbols of a signature; each is a 16-bit MinHash value
+SIGNATURE = 60
+#: the chance to miss a pair at the threshold asked for is this at most
+MISS = 1e-5
 #: a key with more members than this links all of them to its smallest as candidates
 HOT_KEY = 2000
 #: documents of a candidate cluster in one block at most
@@ -25,6 +25,25 @@ BLOCK = 4096
 SHARE, SPLIT = 512, 8
 
 
+def distance_of(chunks: int) -> int:
+    """One wrong symbol is allowed in a chunk, so any pair that differs in at most this many symbols agrees on some chunk up to one symbol (pigeonhole)."""
+    return 2 * chunks - 1
+
+
+def miss_rate(chunks: int, percent: int) -> float:
+    """The chance that signatures of two sets with a similarity of percent/100 differ in more symbols than that."""
+    p = percent / 100
+    return sum(comb(SIGNATURE, i) * (1 - p) ** i * p ** (SIGNATURE - i) for i in range(distance_of(chunks) + 1, SIGNATURE + 1))
+
+
+def chunks_for(percent: int) -> int:
+    """The fewest chunks (of 5, 4 or 3 symbols) with which pairs at the threshold are missed with a chance of MISS at most."""
+    for chunks in (12, 15, 20):
+        if miss_rate(chunks, percent) <= MISS:
+            return chunks
+    raise ValueError(f"a similarity of {percent} percent is too low for {SIGNATURE} symbols: more than {MISS} of the pairs would be missed")
+
+
 def sets_of(data: np.ndarray, offsets: np.ndarray, k: int):
     """Distinct k-word shingle hashes of each lower-cased text: (hashes sorted by document, document indexes)."""
     n = len(offsets) - 1
@@ -92,17 +111,18 @@ def feature_batches(k: int):
     return run
 
 
-def chunk_keys(sig: np.ndarray) -> np.ndarray:
-    """Keys of all chunks with each one of their symbols left out: n x (CHUNKS * SYMBOLS)."""
+def chunk_keys(sig: np.ndarray, chunks: int) -> np.ndarray:
+    """Keys of all chunks with each one of their symbols left out: n x SIGNATURE."""
     out = np.empty((len(sig), SIGNATURE), K.U64)
-    for c in range(CHUNKS):
-        part = sig[:, c * SYMBOLS : (c + 1) * SYMBOLS].astype(K.U64)
-        for w in range(SYMBOLS):
+    symbols = SIGNATURE // chunks
+    for c in range(chunks):
+        part = sig[:, c * symbols : (c + 1) * symbols].astype(K.U64)
+        for w in range(symbols):
             key = np.zeros(len(sig), K.U64)
-            for s in range(SYMBOLS):
+            for s in range(symbols):
                 if s != w:
                     key = (key << K.U64(16)) | part[:, s]
-            out[:, c * SYMBOLS + w] = K.mix(key + K.U64((c * SYMBOLS + w + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+            out[:, c * symbols + w] = K.mix(key + K.U64((c * symbols + w + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
     return out
 
 
@@ -111,13 +131,16 @@ def matrix(column) -> np.ndarray:
     return data.view("<u2").reshape(-1, SIGNATURE)
 
 
-def key_batches(batches):
-    for b in batches:
-        for i in range(0, b.num_rows, 4096):
-            part = b.slice(i, 4096)
-            keys = chunk_keys(matrix(part.column(1)))
-            reps = np.repeat(part.column(0).to_numpy(zero_copy_only=False), SIGNATURE)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(reps)], ["key", "rep"])
+def key_batches(chunks: int):
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 4096):
+                part = b.slice(i, 4096)
+                keys = chunk_keys(matrix(part.column(1)), chunks)
+                reps = np.repeat(part.column(0).to_numpy(zero_copy_only=False), SIGNATURE)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(reps)], ["key", "rep"])
+
+    return run
 
 
 def find(parent: np.ndarray, i: int) -> int:
@@ -127,16 +150,16 @@ def find(parent: np.ndarray, i: int) -> int:
     return i
 
 
-def close_edges(sig: np.ndarray) -> list[tuple[int, int]]:
-    """Edges whose components join all members within DISTANCE of one another."""
+def close_edges(sig: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Edges whose components join all members within that distance of one another."""
     n = len(sig)
     if n == 2:
-        return [(0, 1)] if (sig[0] != sig[1]).sum() <= DISTANCE else []
+        return [(0, 1)] if (sig[0] != sig[1]).sum() <= distance else []
     label, edges = np.full(n, -1), []
     for i in range(n):
         if label[i] >= 0:
             continue
-        near = (sig != sig[i]).sum(1) <= DISTANCE
+        near = (sig != sig[i]).sum(1) <= distance
         label[i] = i
         for old in np.unique(label[near]):
             if old not in (-1, i):
@@ -150,32 +173,36 @@ def close_edges(sig: np.ndarray) -> list[tuple[int, int]]:
         for y in range(x):
             a, b = groups[x], groups[y]
             for i in a:
-                if ((sig[b] != sig[i]).sum(1) <= DISTANCE).any():
+                if ((sig[b] != sig[i]).sum(1) <= distance).any():
                     edges.append((int(a[0]), int(b[0])))
                     break
     return edges
 
 
-def cold_keys(table: pa.Table) -> pa.Table:
+def cold_keys(distance: int):
     """Candidate edges in the keys of one bucket."""
-    key = table.column("key").to_numpy()
-    rep = table.column("rep").to_numpy()
-    sig = matrix(table.column("sig"))
-    order = np.lexsort((rep, key))
-    cuts = np.flatnonzero(np.concatenate([[True], key[order[1:]] != key[order[:-1]], [True]]))
-    pairs = [np.zeros((0, 2), np.int64)]
-    sizes = np.diff(cuts)
-    two = cuts[:-1][sizes == 2]
-    if len(two):
-        i, j = order[two], order[two + 1]
-        near = np.concatenate([(sig[i[s : s + 65536]] != sig[j[s : s + 65536]]).sum(1) for s in range(0, len(i), 65536)]) <= DISTANCE
-        pairs.append(np.stack([rep[i[near]], rep[j[near]]], 1))
-    for g in np.flatnonzero(sizes > 2):
-        own = order[cuts[g] : cuts[g + 1]]
-        if e := close_edges(sig[own]):
-            pairs.append(rep[own][np.array(e)])
-    out = np.unique(np.sort(np.concatenate(pairs), 1), axis=0)
-    return pa.table({"a": out[:, 0], "b": out[:, 1]})
+
+    def run(table: pa.Table) -> pa.Table:
+        key = table.column("key").to_numpy()
+        rep = table.column("rep").to_numpy()
+        sig = matrix(table.column("sig"))
+        order = np.lexsort((rep, key))
+        cuts = np.flatnonzero(np.concatenate([[True], key[order[1:]] != key[order[:-1]], [True]]))
+        pairs = [np.zeros((0, 2), np.int64)]
+        sizes = np.diff(cuts)
+        two = cuts[:-1][sizes == 2]
+        if len(two):
+            i, j = order[two], order[two + 1]
+            near = np.concatenate([(sig[i[s : s + 65536]] != sig[j[s : s + 65536]]).sum(1) for s in range(0, len(i), 65536)]) <= distance
+            pairs.append(np.stack([rep[i[near]], rep[j[near]]], 1))
+        for g in np.flatnonzero(sizes > 2):
+            own = order[cuts[g] : cuts[g + 1]]
+            if e := close_edges(sig[own], distance):
+                pairs.append(rep[own][np.array(e)])
+        out = np.unique(np.sort(np.concatenate(pairs), 1), axis=0)
+        return pa.table({"a": out[:, 0], "b": out[:, 1]})
+
+    return run
 
 
 def exact_links(k: int, percent: int):
@@ -235,10 +262,12 @@ def exact_links(k: int, percent: int):
 def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Group documents whose shingle sets have a Jaccard similarity of at least percent/100.
 
-    Method: 60 MinHash symbols of 16 bits, split into 12 chunks.  Two signatures
-    that differ in at most 23 symbols agree in some chunk up to one symbol, so
-    each chunk is indexed five times with one symbol left out, which finds every
-    pair within that distance.  Candidates are confirmed on the full sets.
+    Method: 60 MinHash symbols of 16 bits, split into 12, 15 or 20 chunks.  Two
+    signatures that differ in at most 2 * chunks - 1 symbols agree in some chunk up
+    to one symbol, so each chunk is indexed with each one symbol left out, which
+    finds every pair within that distance.  The threshold decides on the chunks, so
+    that a pair at it is beyond the distance with a chance of MISS at most; a
+    threshold too low for that raises.  Candidates are confirmed on the full sets.
 
     Returns doc_id, n_shingles, component_id (smallest id reachable over links)
     and kept (doc_id = component_id).  Null and wordless texts have an empty set
@@ -248,20 +277,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, id_col
     input are not looked at.  An empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    spark = docs.sparkSession
+    chunks = chunks_for(percent)
     feats = written(docs.mapInArrow(feature_batches(shingle), "doc_id bigint, n_shingles bigint, dig_a bigint, dig_b bigint, sig binary"), "nd-features")
     full = feats.where("n_shingles > 0")
     classes = full.groupBy("dig_a", "dig_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"))
     classes = written(classes, "nd-classes")
     reps = classes.where("rep is not null").select("rep", "sig")
-    keys = reps.mapInArrow(key_batches, "key bigint, rep bigint")
+    keys = reps.mapInArrow(key_batches(chunks), "key bigint, rep bigint")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1")
     members = written(keys.join(shared.hint("merge"), "key"), "nd-members")
     hot = members.where(f"n > {HOT_KEY} and rep > least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     n_members = members.count()
     cold = members.where(f"n <= {HOT_KEY}").select("key", "rep").join(reps.hint("merge"), "rep")
     parts = parts_for(n_members * 140, 8 << 20)
-    edges = cold.withColumn("bucket", F.pmod("key", F.lit(parts * 4))).groupBy("bucket").applyInArrow(K.released(cold_keys), "a bigint, b bigint")
+    edges = cold.withColumn("bucket", F.pmod("key", F.lit(parts * 4))).groupBy("bucket").applyInArrow(K.released(cold_keys(distance_of(chunks))), "a bigint, b bigint")
     clusters = written(components(edges.unionByName(hot), "nd-candidates"), "nd-clusters")
     # exact confirmation: each member's text goes to its cluster, large clusters in pairs of blocks
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
