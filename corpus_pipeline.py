@@ -1,9 +1,9 @@
 """Corpus preparation: quality rules, near-duplicates, repeated passages, benchmark leaks, tokens.
 
 Every stage keeps the columns of documents (doc_id, text, lang, source, n_chars;
-others are dropped) but for the last, which returns tokens.  Rows that share a
-doc_id are one document and stay or go together; rows without one are judged
-together in the same way.
+others are dropped) but for the last, which returns tokens.  Each row is judged
+on its own: a stage numbers the rows and joins its decisions on that number, so
+rows without a doc_id, and rows that share one, are documents like any other.
 """
 
 from __future__ import annotations
@@ -22,32 +22,48 @@ from tidewheel.llm.suffix import suffix_dedup
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """The documents whose id is (left_semi) or is not (left_anti) in ids."""
-    ids = ids.select(F.col("doc_id").alias("id"))
-    return docs.select(*COLUMNS).join(ids, docs["doc_id"].eqNullSafe(ids["id"]), how)
+def keyed(docs: DataFrame, ordered: bool = False) -> DataFrame:
+    """docs with `key`, a number for each row, written down; if ordered, it rises with doc_id (null ids last)."""
+    rows = docs.select(*COLUMNS)
+    if ordered:
+        rows = rows.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    return written(rows.withColumn("key", F.monotonically_increasing_id()), "keyed")
+
+
+def by_key(docs: DataFrame, *more: str) -> DataFrame:
+    """docs as operators take them: the key is the id."""
+    return docs.selectExpr("key as doc_id", "text", "lang", "source", *more)
+
+
+def only(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """The rows of docs whose key is (left_semi) or is not (left_anti) a doc_id of keys."""
+    keys = keys.select(F.col("doc_id").alias("k"))
+    return docs.join(keys, docs["key"] == keys["k"], how).select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return only(docs, quality_rules(docs).where("kept"), "left_semi")
+    docs = keyed(docs)
+    return only(docs, quality_rules(by_key(docs)).where("kept"), "left_semi")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id."""
-    groups = near_duplicates(docs, shingle=5, percent=80)
-    return only(docs, groups.where("kept or doc_id is null"), "left_semi")
+    docs = keyed(docs, ordered=True)
+    return only(docs, near_duplicates(by_key(docs), shingle=5, percent=80).where("kept"), "left_semi")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go; n_chars says what is left.  A character that loses a byte goes with it."""
-    out = suffix_dedup(docs, width=100, keep_text=True, carry=["lang", "source"])
-    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("bigint").alias("n_chars"))
+    docs = keyed(docs, ordered=True)
+    out = suffix_dedup(by_key(docs, "doc_id as id"), width=100, keep_text=True, carry=["id", "lang", "source"])
+    return out.select(F.col("id").alias("doc_id"), F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("bigint").alias("n_chars"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    pairs = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=80)
+    docs = keyed(docs)
+    pairs = contaminated(by_key(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=80)
     return only(docs, pairs.select("doc_id").distinct(), "left_anti")
 
 

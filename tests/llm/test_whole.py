@@ -104,3 +104,21 @@ def test_low_thresholds(spark):
     assert all(neardup.miss_rate(neardup.chunks_for(p), p) <= neardup.MISS for p in range(65, 101))
     with pytest.raises(ValueError, match="too low"):
         neardup.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string"), percent=60)
+
+
+def test_stages_judge_rows(spark, tmp_path):
+    """Rows without an id, and rows that share one, are judged one by one."""
+    rng = random.Random(8)
+    new = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    item, a, b, c, clean = new(30), new(60), new(60), new(40), new(80)
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def left(stage, texts):
+        docs = spark.createDataFrame(spark.sparkContext.parallelize([(d, t, "en", "a", len(t)) for d, t in texts], 4), "doc_id bigint, text string, lang string, source string, n_chars bigint")
+        return sorted(((r["doc_id"], r["text"]) for r in stage(spark, docs, str(tmp_path)).collect()), key=repr)
+
+    assert left(leaks, [(None, f"{a} {item}"), (None, clean), (3, f"{item} {b}"), (3, b)]) == sorted([(None, clean), (3, b)], key=repr)
+    assert left(quality, [(None, "again " * 50), (None, clean), (3, "too short"), (3, b)]) == sorted([(None, clean), (3, b)], key=repr)
+    assert left(near, [(None, a), (None, a), (None, b), (9, b), (7, b), (3, clean), (3, clean)]) == sorted([(None, a), (7, b), (3, clean)], key=repr)
+    got = left(passages, [(None, f"{a} {c}"), (None, f"{a} {c}"), (8, f"{b} {clean}"), (-8, clean)])
+    assert got == sorted([(None, f"{a} {c}"), (None, ""), (8, f"{b} "), (-8, clean)], key=repr)
