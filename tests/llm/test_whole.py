@@ -122,3 +122,13 @@ def test_stages_judge_rows(spark, tmp_path):
     assert left(near, [(None, a), (None, a), (None, b), (9, b), (7, b), (3, clean), (3, clean)]) == sorted([(None, a), (7, b), (3, clean)], key=repr)
     got = left(passages, [(None, f"{a} {c}"), (None, f"{a} {c}"), (8, f"{b} {clean}"), (-8, clean)])
     assert got == sorted([(None, f"{a} {c}"), (None, ""), (8, f"{b} "), (-8, clean)], key=repr)
+
+
+def test_crowded_leaks(spark):
+    """Documents made of four fifths of each of 400 benchmark items, in other orders."""
+    rng = random.Random(9)
+    items = [[f"w{rng.randrange(10**6)}" for _ in range(132)] for _ in range(400)]
+    texts = [" ".join(" ".join(w[:107]) for w in rng.sample(items, 400)) for _ in range(20)]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    got = contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), table, percent=80).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["n_shared"]) for r in got) == [(d, i, 103) for d in range(20) for i in range(400)]

@@ -1,8 +1,8 @@
-"""Benchmark decontamination by size-partitioned MinHash containment search, in DataFrame operations only."""
+"""Benchmark decontamination by an exact prefix-filtered containment search, in DataFrame operations only."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.llm.store import written
@@ -10,7 +10,6 @@ from tidewheel.llm.store import written
 #: fixed value: the separators of words
 SPACE = " \t\n\x0b\x0c\r"
 GRAM = 5
-MINIMA = 32
 #: tables of up to this many rows (of at most three numbers each) are broadcast, larger ones are joined by shuffle
 BROADCAST_ROWS = 200_000
 
@@ -39,26 +38,14 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def minima() -> list[Column]:
-    return [F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}") for k in range(MINIMA)]
-
-
-def banded() -> Column:
-    """One row for each minimum."""
-    return F.posexplode(F.array(*(F.col(f"m{k}") for k in range(MINIMA)))).alias("k", "m")
-
-
 def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
     """Pairs of a document and a benchmark item with at least percent/100 of the item's 5-word shingles in the document.
 
-    Items are partitioned by size (powers of two).  For each size class, the
-    documents' shingles that occur in any item of the class are put into
-    overlapping blocks, long enough that an item's passage lies in one whole block
-    and short enough that its Jaccard similarity with the block stays above about
-    0.19; blocks and items that share one of 32 MinHash minima are candidates
-    (a passage at that lowest bound is missed once in a thousand; blocks that hold
-    little else, as most do, never are).  Candidates are verified on the shingles'
-    texts over the whole document.
+    A document that lacks no more of an item's n shingles than the threshold allows
+    has one of any n - need + 1 of them, where need is the number it must share.
+    Of each item, those that are in the fewest documents are looked up, and every
+    document that has one is a candidate: no pair is lost.  Candidates are verified
+    on the shingles' texts over the whole document.
 
     Returns doc_id, item_id, n_shared, n_shingles (of the item) and containment.
     Texts that are null or have fewer than five words have no shingles and match
@@ -69,24 +56,23 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFr
     items = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("t")).where("item_id is not null and t is not null")
     words = items.select("item_id", words_of(F.col("t")).alias("w"))
     grams = words.select("item_id", F.explode(shingle_hashes(F.col("w"))).alias("h")).distinct()
-    sized = grams.groupBy("item_id").agg(F.count(F.lit(1)).alias("q"))
-    # log2 of a power of two is exact in doubles; the class only has to be the same on both sides
-    classed = grams.join(sized.select("item_id", F.floor(F.log2("q")).cast("int").alias("class")), "item_id")
-    vocabulary = classed.select("class", "h").distinct()
+    vocabulary = grams.select("h").distinct()
     n_vocabulary = vocabulary.count()
     if not n_vocabulary:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, n_shared bigint, n_shingles bigint, containment double")
 
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("t")).where("doc_id is not null and t is not null")
     split = source.select("doc_id", words_of(F.col("t")).alias("w")).where(F.size("w") >= GRAM)
-    seen = split.select("doc_id", F.posexplode(shingle_hashes(F.col("w"))).alias("pos", "h"))
-    hits = seen.join(small(vocabulary, n_vocabulary), "h")
-    stride = F.expr("shiftleft(2, class)")
-    block = F.floor(F.col("pos") / stride)
-    blocks = hits.select("doc_id", "class", "h", F.explode(F.array(block, block - 1)).alias("block"))
-    sides = blocks.groupBy("doc_id", "class", "block").agg(*minima()).select("doc_id", "class", banded())
-    own = classed.groupBy("item_id", "class").agg(*minima()).select("item_id", "class", banded())
-    pairs = sides.distinct().join(small(own, own.count()), ["class", "k", "m"]).select("doc_id", "item_id").distinct()
+    seen = split.select("doc_id", F.explode(F.array_distinct(shingle_hashes(F.col("w")))).alias("h"))
+    hits = written(seen.join(small(vocabulary, n_vocabulary), "h"), "leak-hits")
+    spread = hits.groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"))
+    n_grams = grams.count()
+    ranked = grams.join(small(spread, n_vocabulary), "h", "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0)))
+    item = Window.partitionBy("item_id")
+    ranked = ranked.withColumns({"q": F.count(F.lit(1)).over(item), "rank": F.row_number().over(item.orderBy("n_docs", "h"))})
+    # need is q * percent / 100, rounded up
+    prefix = ranked.where(F.col("rank") <= F.col("q") - F.ceil(F.col("q") * percent / 100) + 1).where("n_docs > 0").select("item_id", "h")
+    pairs = hits.join(small(prefix, n_grams), "h").select("doc_id", "item_id").distinct()
     pairs = written(pairs, "leak-candidates")
     ids = pairs.select("doc_id").distinct()
     n_pairs, n_ids = pairs.count(), ids.count()
