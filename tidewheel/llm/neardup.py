@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm import kernels as K
 from tidewheel.llm.components import components
-from tidewheel.llm.store import parts_for, text_bytes, written
+from tidewheel.llm.store import discard, parts_for, written
 
 #: symbols of a signature; each is a 16-bit MinHash value
 SIGNATURE = 60
@@ -143,13 +143,6 @@ def key_batches(chunks: int):
     return run
 
 
-def find(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
-
-
 def close_edges(sig: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Edges whose components join all members within that distance of one another."""
     n = len(sig)
@@ -208,13 +201,51 @@ def cold_keys(distance: int):
 def exact_links(k: int, percent: int):
     """Links inside the candidate clusters (or pairs of blocks of one) of a group, confirmed on full sets.
 
-    Intersections come from an inverted index of the cluster; the links
-    returned span the same components as all links of the group do.
+    Intersections come from an inverted index of the cluster.  First each document
+    that no link has reached yet is compared with all others; then so is each one
+    outside the largest group found that way.  Pairs inside that group need no
+    comparison, as they are linked already: a dense cluster of n takes about n
+    comparisons, and the links returned span what all links of the cluster span.
     """
 
+    def cluster_links(h, d, n, sides):
+        size = np.bincount(d, minlength=n)
+        begin = np.concatenate([[0], np.cumsum(size)])
+        uniq, ids = np.unique(h, return_inverse=True)
+        posting = d[np.argsort(ids, kind="stable")]
+        at = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=len(uniq)))])
+        label, reached, done, edges = np.arange(n), np.zeros(n, bool), np.zeros(n, bool), []
+
+        def compare(x: int) -> None:
+            done[x] = reached[x] = True
+            mine = ids[begin[x] : begin[x + 1]]
+            m = at[mine + 1] - at[mine]
+            if not m.sum():
+                return
+            both = np.bincount(posting[np.repeat(at[mine] - (np.cumsum(m) - m), m) + np.arange(m.sum())], minlength=n)
+            linked = (100 * both >= percent * (size[x] + size - both)) & (both > 0)
+            linked[x] = False
+            if sides is not None:  # pairs in one block are met where that block meets itself
+                linked &= (sides != sides[x]) | (sides[x] == 2)
+            y = np.flatnonzero(linked)
+            reached[y] = True
+            groups, first = np.unique(label[y], return_index=True)
+            for g, i in zip(groups.tolist(), first.tolist(), strict=True):
+                if g != label[x]:
+                    edges.append((x, int(y[i])))
+                    label[label == g] = label[x]
+
+        for x in range(n):
+            if not reached[x]:
+                compare(x)
+        names, sizes = np.unique(label, return_counts=True)
+        for x in np.flatnonzero((label != names[sizes.argmax()]) & ~done) if len(names) > 1 else ():
+            compare(int(x))
+        return edges
+
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("cluster", "ascending"), ("slot", "ascending"), ("rep", "ascending")])
-        a, b, seen = [], [], set()
+        a, b = [], []
         cluster, slot = table.column("cluster").to_numpy(), table.column("slot").to_numpy()
         rep, side = table.column("rep").to_numpy(), table.column("side").to_numpy()
         texts = table.column("text")
@@ -226,34 +257,10 @@ def exact_links(k: int, percent: int):
                 h, d = sets_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
                 hs.append(h)
                 ds.append(d + i)
-            h, d = np.concatenate(hs), np.concatenate(ds)
-            n = hi - lo
-            size = np.bincount(d, minlength=n)
-            begin = np.concatenate([[0], np.cumsum(size)])
-            uniq, ids = np.unique(h, return_inverse=True)
-            order = np.argsort(ids, kind="stable")
-            posting = d[order]
-            at = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=len(uniq)))])
-            parent = np.arange(n)
-            own, sides = rep[lo:hi], side[lo:hi]
-            for x in range(n - 1):
-                mine = ids[begin[x] : begin[x + 1]]
-                s, e = at[mine], at[mine + 1]
-                m = e - s
-                if not m.sum():
-                    continue
-                take = np.repeat(s - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
-                both = np.bincount(posting[take], minlength=n)[x + 1 :]
-                union = size[x] + size[x + 1 :] - both
-                linked = (100 * both >= percent * union) & (both > 0)
-                if sides[x] >= 0 and slot[lo] >= 0:  # two blocks: pairs in one block are met elsewhere
-                    linked &= (sides[x + 1 :] != sides[x]) | (sides[x] == 2)
-                for y in np.flatnonzero(linked) + x + 1:
-                    p, q = find(parent, x), find(parent, int(y))
-                    if p != q:
-                        parent[max(p, q)] = min(p, q)
-                        a.append(own[x])
-                        b.append(own[y])
+            own = rep[lo:hi]
+            for x, y in cluster_links(np.concatenate(hs), np.concatenate(ds), hi - lo, side[lo:hi] if slot[lo] >= 0 else None):
+                a.append(own[x])
+                b.append(own[y])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -269,20 +276,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, id_col
     that a pair at it is beyond the distance with a chance of MISS at most; a
     threshold too low for that raises.  Candidates are confirmed on the full sets.
 
+    A key with more than HOT_KEY members does not compare signatures: all of them
+    become candidates of its smallest one, and the confirmation decides.
+
     Returns doc_id, n_shingles, component_id (smallest id reachable over links)
-    and kept (doc_id = component_id).  Null and wordless texts have an empty set
-    and stand alone; equal sets are one class from the start, so copies cost no
-    pairs; a row with a null id joins its class but is never its smallest id
-    unless no other is there; repeated ids are one node.  Other columns of the
-    input are not looked at.  An empty table gives no rows.
+    and kept (doc_id = component_id), one row for each row of docs.  Null and
+    wordless texts have an empty set and stand alone; equal sets are one class from
+    the start, so copies cost no pairs; repeated ids are one node.  Rows with a null
+    id are documents of their own that come after all others: they link and are
+    linked, their component_id is null if no document with an id is in reach, and
+    one of such a component is kept.  Other columns of the input are not looked at.
+    An empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chunks = chunks_for(percent)
+    r = docs.agg(F.max("doc_id").alias("top"), (F.count(F.lit(1)) - F.count("doc_id")).alias("nulls")).first()
+    beyond = None
+    if r["nulls"]:  # numbers above all ids stand for those that are missing; they are written before they are used
+        beyond = 0 if r["top"] is None else r["top"] + 1
+        if beyond >= 1 << 62:
+            raise ValueError("ids leave no room for numbers of the rows without one")
+        docs = written(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(beyond) + F.monotonically_increasing_id())), "nd-numbered")
     feats = written(docs.mapInArrow(feature_batches(shingle), "doc_id bigint, n_shingles bigint, dig_a bigint, dig_b bigint, sig binary"), "nd-features")
     full = feats.where("n_shingles > 0")
     classes = full.groupBy("dig_a", "dig_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"))
     classes = written(classes, "nd-classes")
-    reps = classes.where("rep is not null").select("rep", "sig")
+    reps = classes.select("rep", "sig")
     keys = reps.mapInArrow(key_batches(chunks), "key bigint, rep bigint")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1")
     members = written(keys.join(shared.hint("merge"), "key"), "nd-members")
@@ -292,6 +311,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, id_col
     parts = parts_for(n_members * 140, 8 << 20)
     edges = cold.withColumn("bucket", F.pmod("key", F.lit(parts * 4))).groupBy("bucket").applyInArrow(K.released(cold_keys(distance_of(chunks))), "a bigint, b bigint")
     clusters = written(components(edges.unionByName(hot), "nd-candidates"), "nd-clusters")
+    discard(members)
     # exact confirmation: each member's text goes to its cluster, large clusters in pairs of blocks
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     # a member's text travels once for each block of its cluster: at most SPLIT times up to SPLIT * BLOCK members
@@ -309,13 +329,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, id_col
     )
     placed = placed.select(F.col("node").alias("rep"), F.col("component").alias("cluster"), F.explode(F.when(n > 1, pairs).otherwise(one)).alias("p"))
     placed = placed.select("rep", "cluster", "p.slot", "p.side")
-    texts = docs.where("doc_id is not null").join(placed.hint("merge"), docs["doc_id"] == placed["rep"]).drop("doc_id")
+    texts = docs.join(placed.hint("merge"), docs["doc_id"] == placed["rep"]).drop("doc_id")
     parts = parts_for(clusters.count() * 4000, 8 << 20)
     group = F.when(F.col("slot") < 0, F.pmod(F.xxhash64("cluster"), F.lit(parts * 4))).otherwise(F.xxhash64("cluster", "slot"))
     links = texts.withColumn("task", group).groupBy("task").applyInArrow(K.released(exact_links(shingle, percent)), "a bigint, b bigint")
-    found = components(links, "nd-links")
+    found = written(components(links, "nd-links"), "nd-found")
+    discard(clusters, *([] if beyond is None else [docs]))
     named = classes.join(found, classes["rep"] == found["node"], "left").select("dig_a", "dig_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = feats.select("doc_id", "n_shingles", "dig_a", "dig_b").join(named, ["dig_a", "dig_b", "n_shingles"], "left")
     # an id that comes with several texts is one node
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    if beyond is None:
+        return out
+    return out.withColumns({c: F.when(F.col(c) < beyond, F.col(c)) for c in ("doc_id", "component_id")})

@@ -48,11 +48,22 @@ def deleted(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
+    """Write df as Parquet to the shared folder and read it back: lineage is cut and lost executors cost nothing.
+
+    The table stays until `discard` deletes it; a result that is read from it needs it.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     with releasing(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `written` has made and nothing reads any more."""
+    for t in tables:
+        deleted(t.sparkSession, t.table_path)
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> tuple[int, int]:
@@ -64,3 +75,8 @@ def text_bytes(docs: DataFrame, column: str = "text") -> tuple[int, int]:
 def parts_for(size: int, each: int = 16 << 20, least: int = 1) -> int:
     """Partitions of about `each` bytes."""
     return max(least, -(-size // each))
+
+
+def tasks_for(size: int, each: int = 4 << 20, most_each: int = 128 << 20, aim: int = 20_000) -> int:
+    """Partitions of about `each` bytes; once there are `aim` of them they grow instead, up to `most_each`."""
+    return parts_for(size, max(each, min(most_each, size // aim)))
