@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm import kernels as K
+from tidewheel.llm.sample import threshold
 
-#: labelled rows used for fitting at most; those with the least hash of their id
+#: labelled documents used for fitting at most; those with the least hash of their id
 SAMPLE = 20_000
 BINS = 32
 PAIR_BINS = 8
@@ -86,6 +87,44 @@ def shallow(bins: np.ndarray, grad: np.ndarray, hess: np.ndarray, n_bins: int, s
     return out
 
 
+def shallow_pair(cell: np.ndarray, grad: np.ndarray, hess: np.ndarray, side: int, splits: int = 3) -> np.ndarray:
+    """A small regression tree on two binned features, as a table of leaf values by cell (side x side, flat).
+
+    Leaves are rectangles of cells; each split cuts one of them along one of the
+    features where that gains most.
+    """
+
+    def sums(values):
+        out = np.zeros((side + 1, side + 1))
+        out[1:, 1:] = np.bincount(cell, values, side * side).reshape(side, side).cumsum(0).cumsum(1)
+        return out
+
+    g, h = sums(grad), sums(hess)
+    inside = lambda s, a, b, c, d: s[b, d] - s[a, d] - s[b, c] + s[a, c]
+    worth = lambda a, b, c, d: inside(g, a, b, c, d) ** 2 / (inside(h, a, b, c, d) + 5.0)
+    leaves = [(0, side, 0, side)]
+    for _ in range(splits):
+        best, cut = 1e-9, None
+        for n, (a, b, c, d) in enumerate(leaves):
+            own = worth(a, b, c, d)
+            for m, one, two in ((np.arange(a + 1, b), *((a, None, c, d), (None, b, c, d))), (np.arange(c + 1, d), *((a, b, c, None), (a, b, None, d)))):
+                if len(m):
+                    left, right = (tuple(m if x is None else x for x in box) for box in (one, two))
+                    ok = (inside(h, *left) > 1.0) & (inside(h, *right) > 1.0)
+                    gain = np.where(ok, worth(*left) + worth(*right) - own, -1)
+                    i = int(gain.argmax())
+                    if gain[i] > best:
+                        boxes = [tuple(int(m[i]) if x is None else x for x in box) for box in (one, two)]
+                        best, cut = float(gain[i]), (n, boxes)
+        if cut is None:
+            break
+        leaves[cut[0] : cut[0] + 1] = cut[1]
+    out = np.zeros((side, side))
+    for a, b, c, d in leaves:
+        out[a:b, c:d] = inside(g, a, b, c, d) / (inside(h, a, b, c, d) + 5.0)
+    return out.ravel()
+
+
 class AdditiveModel:
     """Lookup tables by feature and by pair of features; a score is the sum of the bins' entries."""
 
@@ -135,8 +174,7 @@ class AdditiveModel:
             for i, j, table in self.pairs:
                 cell = small[i] * PAIR_BINS + small[j]
                 q = 1 / (1 + np.exp(-f))
-                a, b = np.bincount(cell, y - q, PAIR_BINS**2), np.bincount(cell, q * (1 - q), PAIR_BINS**2)
-                tree = RATE * a / (b + 5.0)
+                tree = RATE * shallow_pair(cell, y - q, q * (1 - q), PAIR_BINS)
                 table += tree
                 f += tree[cell]
         return self
@@ -152,22 +190,23 @@ class AdditiveModel:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality") -> AdditiveModel:
-    """Fit on at most `sample` labelled documents, those with the least hash of their id.
+    """Fit on at most `sample` labelled documents, those with the least 64-bit hash of their id.
 
     docs: doc_id, text; labels: doc_id and `label` (0 or 1; null rows are left
-    out).  Without any labels every score is one half.
+    out, of several for one id the largest counts).  Rows of docs that share an id are
+    one document, that with the least text; labels without a document are left out.
+    Without any labels every score is one half.  Other columns are ignored.
     """
-    seen = labels.where(f"{label} is not null and doc_id is not null").groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
-    n = seen.count()
-    share = min(1.0, sample / max(n, 1))
-    picked = seen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else seen
+    seen = labels.where(f"{label} is not null and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("id")).agg(F.max(label).cast("double").alias("y"))
+    picked = seen.withColumn("_h", F.xxhash64("id")).where(F.col("_h") <= threshold(seen.count(), sample)).orderBy("_h").limit(sample).select("id", "y")
 
     def rows(batches):
         for r, data, offsets in K.blocks(batches):
             x = features(data, offsets)
             yield pa.RecordBatch.from_arrays([r.column(1), r.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    few = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id").select("text", "doc_id", "y")
+    few = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(picked, F.col("doc_id") == F.col("id"))
+    few = few.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "doc_id", "y")
     got = few.mapInArrow(rows, "doc_id bigint, y double, x array<double>").toArrow()
     if not got.num_rows:
         return AdditiveModel().fit(np.zeros((0, len(FEATURES))), np.zeros(0))
@@ -176,13 +215,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label:
     return AdditiveModel().fit(x, got.column("y").to_numpy())
 
 
-def score_quality(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3) -> DataFrame:
-    """doc_id, score and predicted (score >= threshold) of each whole text; null and empty texts are scored as empty."""
+def score_quality(docs: DataFrame, model: AdditiveModel, least: float = 0.3) -> DataFrame:
+    """doc_id, score and predicted (score >= least) of each whole text; null and empty texts are scored as empty.
+
+    Every row is scored by its text alone: repeated rows and null ids give a row
+    each, other columns are ignored, an empty table gives no rows.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few tables: fixed
 
     def run(batches):
         for rows, data, offsets in K.blocks(batches):
             s = held.value.score(features(data, offsets))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(s), pa.array((s >= least).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, score double, predicted int")

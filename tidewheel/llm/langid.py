@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm import kernels as K
+from tidewheel.llm.sample import least_hashed
+from tidewheel.llm.store import discard, written
 
-#: labelled rows used for fitting, per language; the rows with the least crc32 of their id
-SAMPLE = 400
+#: labelled documents used for fitting, per language, at most
+SAMPLE = 800
+MOST_LANGUAGES = 4096
 #: slots of the filter (a power of two); each holds one bit for each language
 SLOTS = 1 << 18
 HASHES = 2
 #: bytes of an n-gram
 GRAM = 4
-#: an n-gram belongs to a language if it is in at least this many of its sample documents
-LEAST_DOCS = 3
+#: an n-gram belongs to a language if it is in at least this many of its sample documents, or in one if the sample has fewer than FEW
+LEAST_DOCS, FEW = 3, 50
 
 
 def letters_table() -> np.ndarray:
@@ -98,41 +101,41 @@ class LanguageFilters:
 def fit(labelled: DataFrame, sample: int = SAMPLE, slots: int = SLOTS) -> LanguageFilters:
     """Filters of all languages in labelled (doc_id, text, lang; nulls are left out).
 
-    At most `sample` documents of each language are read, those with the least
-    crc32 of their id; their number does not grow with the corpus.
+    Of each language `sample` documents are read at most, those with the least
+    64-bit hash of their id; rows that share an id count as one of them (rows without
+    an id count by their text).  An n-gram is a language's if LEAST_DOCS of the sample
+    have it, or one in a language with fewer than FEW documents in the sample.  An
+    empty table gives filters without languages; other columns are ignored.
     """
-    seen = labelled.where("lang is not null and text is not null and text <> ''")
-    names = sorted(r[0] for r in seen.select("lang").distinct().collect())
-    if len(names) > 4096:
-        raise ValueError("more than 4096 languages")
-    # a threshold on a hash of the id keeps enough rows of the rarest languages and needs no global sort of texts
-    counts = {r["lang"]: r["n"] for r in seen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = F.xxhash64(F.col("doc_id").cast("string"))
-    picked = None
-    share = {k: min(1.0, 2.0 * sample / n + 20 / n) for k, n in counts.items()}
-    limits = F.create_map(*[x for k in names for x in (F.lit(k), F.lit(int(share[k] * 1_000_000)))]) if names else None
+    seen = labelled.where("lang is not null and text is not null and text <> ''").select("doc_id", "text", "lang")
+    names = sorted(r[0] for r in seen.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(names) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     filters = LanguageFilters(names, slots)
     if not names:
         return filters
-    picked = seen.where(F.pmod(order, F.lit(1_000_000)) < F.element_at(limits, F.col("lang")))
+    own = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
+    picked = written(least_hashed(seen, own, sample, "lang"), "language-sample")
+    sizes = {r["lang"]: r["n"] for r in picked.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    place = {k: i for i, k in enumerate(names)}
 
     def codes(batches):
         for rows, data, offsets in K.blocks(batches):
             code, doc = grams(data, offsets)
-            lang = np.array([names.index(x) for x in rows.column(1).to_pylist()], np.int64)
+            lang = np.array([place[x] for x in rows.column(1).to_pylist()], np.int64)
             # each n-gram once a document: document above, code below
             once = np.unique((doc.astype(K.U64) << K.U64(32)) | code)
             key = (lang[(once >> K.U64(32)).astype(np.int64)].astype(K.U64) << K.U64(32)) | (once & K.U64(0xFFFFFFFF))
             key, n = np.unique(key, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
-    grown = picked.select("text", "lang").mapInArrow(codes, "key bigint, n bigint")
-    found = grown.groupBy("key").agg(F.sum("n").alias("n"))
-    least = F.create_map(*[x for i, k in enumerate(names) for x in (F.lit(i), F.lit(LEAST_DOCS if counts[k] >= 50 else 1))])
+    found = picked.select("text", "lang").mapInArrow(codes, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    least = F.create_map(*[x for i, k in enumerate(names) for x in (F.lit(i), F.lit(1 if sizes[k] < FEW else LEAST_DOCS))])
     kept = found.where(F.col("n") >= F.element_at(least, F.shiftrightunsigned("key", 32).cast("int"))).select("key").toArrow()
     keys = kept.column("key").to_numpy().view(K.U64)
     for i in range(len(names)):
         filters.add(i, (keys[(keys >> K.U64(32)) == i] & K.U64(0xFFFFFFFF)).astype(np.uint32))
+    discard(picked)
     return filters
 
 
@@ -150,7 +153,8 @@ def predict(docs: DataFrame, filters: LanguageFilters, unknown: str = "und") ->
 
     `unknown` with score 0 where the text is null or has no letter.  A text with no
     known n-gram gets the first language with score 0; ties go to the language
-    that sorts first.
+    that sorts first.  Every row is scored by its text alone: repeated rows and null
+    ids give a row each, other columns are ignored, an empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS words: fixed
 
