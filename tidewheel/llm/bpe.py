@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.store import parts_for, written
+from tidewheel.llm.store import discard, tasks_for, written
 
 #: fixed value: the word-splitting pattern of the 50k byte-level vocabulary
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -18,6 +20,42 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PIECE = 1 << 15
 #: bytes that an edge must lie from the join and from the window's ends
 MARGIN = 32
+#: characters of one class on each side of an edge inside a run
+INSIDE = 4
+#: neighbours that one task joins at a level
+FAN = 8
+
+
+@lru_cache(1 << 16)
+def kind_of(c: str) -> int:
+    """Class of a character in PATTERN: 1 letter, 2 number, 3 other, 4 white space; 0 if versions of Unicode may not agree on it."""
+    now, once = unicodedata.category(c)[0], unicodedata.ucd_3_2_0.category(c)
+    if now == "C" and c not in "\t\n\v\f\r" or once not in ("Cn", unicodedata.category(c)):
+        return 0
+    return 4 if c.isspace() else {"L": 1, "N": 2}.get(now, 3)
+
+
+def safe_edges(window: str) -> tuple[np.ndarray, np.ndarray]:
+    """By byte offset of a window: where a word ends whatever else the text has, and what lies inside a run of one class.
+
+    Before a character of another class a run of letters, numbers or other marks
+    ends with every alternative of the pattern, and neither side's words depend on
+    the other's (not after an apostrophe: it may begin a contraction).  A place with
+    INSIDE characters of one class on both sides is in the middle of a word.
+    """
+    kind = np.fromiter(map(kind_of, window), np.int8, len(window))
+    size = np.fromiter((1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4 for c in window), np.int64, len(window))
+    at = np.concatenate([[0], np.cumsum(size)])
+    ends, inside = np.zeros(int(at[-1]) + 1, bool), np.zeros(int(at[-1]) + 1, bool)
+    if len(window) > 1:
+        a, b = kind[:-1], kind[1:]
+        quote = np.fromiter((c == "'" for c in window[:-1]), bool, len(window) - 1)
+        ends[at[1:-1]] = (a > 0) & (b > 0) & (a != b) & (a != 4) & ~(quote & (b == 1))
+        run = np.concatenate([[0], np.cumsum((a == b) & (a > 0))])  # equal neighbours so far
+        i = np.arange(INSIDE, len(window) - INSIDE + 1)
+        if len(i):
+            inside[at[i]] = run[i + INSIDE - 1] - run[i - INSIDE] == 2 * INSIDE - 1
+    return ends, inside
 
 
 def byte_of_char() -> dict[str, int]:
@@ -73,8 +111,10 @@ class Codec:
 
         The tokens around the join are decoded and encoded again, over a window
         that grows until it agrees with both halves at an edge on each side of the
-        join; beyond such edges nothing can differ (see `edges`).
+        join; beyond such edges nothing can differ (see `_shared`).  `encoded` holds
+        the characters that the last join has encoded again.
         """
+        self.encoded = 0
         if not len(left) or not len(right):
             return np.concatenate([left, right])
         while True:
@@ -86,16 +126,17 @@ class Codec:
             if b < len(right):  # end at a whole character
                 stop -= next((i for i in range(5) if self._whole(raw[: len(raw) - i])), 0)
             window = raw[start:stop].decode("utf-8")
+            self.encoded += len(window)
             mid = self.encode(window)
             at_mid = np.concatenate([[0], np.cumsum(self.sizes(mid))]) + start
             at_head = np.concatenate([[0], np.cumsum(self.sizes(head))])
             at_tail = at_head[-1] + np.concatenate([[0], np.cumsum(self.sizes(tail))])
-            inside = window.isalpha()
+            ends, inside = (np.concatenate([np.zeros(start, bool), x]) for x in safe_edges(window))
             x, y = (0, 0), (b, len(mid))
             if a < len(left):
-                x = self._shared(head, at_head, mid, at_mid, MARGIN, at_head[-1] - MARGIN, inside, -1)
+                x = self._shared(head, at_head, mid, at_mid, MARGIN, at_head[-1] - MARGIN, ends | inside, -1)
             if b < len(right):
-                y = self._shared(tail, at_tail, mid, at_mid, at_head[-1] + MARGIN, at_tail[-1] - MARGIN, inside, 0)
+                y = self._shared(tail, at_tail, mid, at_mid, at_head[-1] + MARGIN, at_tail[-1] - MARGIN, ends | inside, 0)
             if x and y and x[1] <= y[1]:
                 return np.concatenate([left[: len(left) - a + x[0]], mid[x[1] : y[1]], right[y[0] :]])
             reach *= 4
@@ -113,36 +154,21 @@ class Codec:
                 return i == (1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4)
         return False
 
-    def edges(self, ids: np.ndarray) -> np.ndarray:
-        """Whether a word begins before each token but the first, whatever the rest of the text.
-
-        The last token ends in a printable ASCII byte and this one starts with one
-        space and such a byte: every alternative of the pattern ends before that
-        space, and no special token holds one.
-        """
-        if not hasattr(self, "_kinds"):
-            self.sizes(ids[:0])
-            begins, closes = np.zeros(len(self._sizes), bool), np.zeros(len(self._sizes), bool)
-            for b, i in self.ranks.items():
-                begins[i] = len(b) > 1 and b[0] == 32 and 33 <= b[1] <= 126
-                closes[i] = 33 <= b[-1] <= 126
-            self._kinds = begins, closes
-        return self._kinds[0][ids[1:]] & self._kinds[1][ids[:-1]]
-
-    def _shared(self, ids, at, mid, at_mid, low, high, inside, which):
+    def _shared(self, ids, at, mid, at_mid, low, high, safe, which):
         """(tokens before the edge in ids, in mid) of an edge between bytes low and high that both have; None without one.
 
-        Inside one run of letters any edge does whose tokens on both sides are the
-        same in both encodings: a token sequence is the encoding of its text if all
-        neighbours are, and these are neighbours in an encoding.
+        An edge is a byte offset where both encodings have a token's end, with the same
+        tokens on both sides, and that is safe: either a word ends there in any case,
+        so that what lies beyond it does not matter, or it is in the middle of a word.
+        There the tokens on both sides are neighbours in an encoding, and a sequence
+        of tokens is the encoding of its word if all neighbours are.
         """
         if len(ids) < 2 or len(mid) < 2:
             return None
         both, i, j = np.intersect1d(at[1:-1], at_mid[1:-1], return_indices=True)
-        ok = (both >= low) & (both <= high) & (ids[i] == mid[j]) & (ids[i + 1] == mid[j + 1])
-        if not inside:
-            ok &= self.edges(ids)[i] & self.edges(mid)[j]
+        ok = (both >= low) & (both <= high) & (both < len(safe)) & (ids[i] == mid[j]) & (ids[i + 1] == mid[j + 1])
         k = np.flatnonzero(ok)
+        k = k[safe[both[k]]]
         return (int(i[k[which]]) + 1, int(j[k[which]]) + 1) if len(k) else None
 
     def tree(self, parts: list[np.ndarray]) -> np.ndarray:
@@ -198,7 +224,7 @@ def encode_pieces(payload: str):
 
 
 def join_level(payload: str):
-    """Join neighbouring halves; rows come sorted by row and slot, and both halves of a node are in one task."""
+    """Join FAN neighbours pairwise; rows come sorted by row and slot, and all neighbours of a node are in one task."""
 
     def run(batches):
         codec = Codec("", payload)
@@ -212,10 +238,10 @@ def join_level(payload: str):
 
         for b in batches:
             for d, row, slot, ids in zip(*(b.column(k).to_pylist() for k in ("doc_id", "row", "slot", "ids")), strict=True):
-                if node != (row, slot // 2):
+                if node != (row, slot // FAN):
                     if node is not None:
                         yield joined()
-                    node, parts, doc = (row, slot // 2), [], d
+                    node, parts, doc = (row, slot // FAN), [], d
                 parts.append(np.frombuffer(ids, "<u4"))
         if node is not None:
             yield joined()
@@ -237,8 +263,9 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, keep_ids: bool = False, pie
     """Encode each text as the tokenizers library does with `vocabulary` (no special tokens added), and decode it again.
 
     Texts of up to `piece` characters are encoded at once.  Longer ones are cut
-    into pieces that are encoded in parallel, and joined pairwise up a tree: around
-    each join a window is encoded again, growing until it agrees with both sides.
+    into pieces that are encoded in parallel, and joined pairwise up a tree, three
+    levels in one task: around each join a window is encoded again, growing until it
+    agrees with both sides.
 
     Returns doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids
     (little-endian 32-bit).  Null texts count as empty; null and repeated ids are
@@ -265,18 +292,20 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, keep_ids: bool = False, pie
 
     short = docs.where(F.length("text") <= piece).mapInArrow(mapped(encode_whole, keep_ids), RESULT)
     long = docs.where(F.length("text") > piece)
-    n_long, most = long.agg(F.count(F.lit(1)), F.max(F.length("text"))).first()
+    n_long, most, size = long.agg(F.count(F.lit(1)), F.max(F.length("text")), F.sum(F.octet_length("text"))).first()
     cols = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])]
     if not n_long:
         return short.select(*cols)
     cuts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / piece).cast("int"))
     # a row's number tells rows with one id apart; it is written before it is used
     rows = written(long.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.posexplode(F.transform(cuts, lambda i: F.substring(F.col("text"), (i * piece + 1).cast("int"), F.lit(piece)))).alias("slot", "piece")), "bpe-pieces")
-    spread = rows.repartition(parts_for(n_long * 4 * piece, 1 << 20), "row", "slot")
+    spread = rows.repartition(tasks_for(size), "row", "slot")
     level = written(spread.mapInArrow(mapped(encode_pieces), "doc_id bigint, row bigint, slot int, ids binary"), "bpe-level")
+    discard(rows)
     n = -(-most // piece)
     while n > 1:
-        pairs = level.repartition(parts_for(n_long * 4 * piece, 1 << 20), "row", F.floor(F.col("slot") / 2)).sortWithinPartitions("row", "slot")
-        level = written(pairs.mapInArrow(mapped(join_level), "doc_id bigint, row bigint, slot int, ids binary"), "bpe-level")
-        n = -(-n // 2)
+        near = level.repartition(tasks_for(size), "row", F.floor(F.col("slot") / FAN)).sortWithinPartitions("row", "slot")
+        above = written(near.mapInArrow(mapped(join_level), "doc_id bigint, row bigint, slot int, ids binary"), "bpe-level")
+        discard(level)
+        level, n = above, -(-n // FAN)
     return short.select(*cols).unionByName(level.mapInArrow(mapped(digest_joined, keep_ids), RESULT).select(*cols))
