@@ -142,7 +142,9 @@ def test_warc(spark, tmp_path):
     assert rows(round_trip(pages.limit(0))) == []
     a = write_warc(pages, f"file://{tmp_path}/a", roll=2000)
     b = write_warc(pages.repartition(7), f"file://{tmp_path}/b", roll=2000)
-    assert a == b and not list(tmp_path.glob("*/_temporary"))
+    assert rows(a) == rows(b) and a.count() > 1 and not list(tmp_path.glob("*/_temporary"))
+    with pytest.raises(FileExistsError):
+        write_warc(pages, f"file://{tmp_path}/a")
     assert {r["html"] for r in read_warc(spark, f"file://{tmp_path}/a").where("record_type = 'response'").collect()} == {"<p>é</p>", "", "z", "y" * 300_000}
 
 
