@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidewheel.llm import kernels as K
-from tidewheel.llm.repeats import ANCHOR_SCHEMA, KNOWN, Units, anchor_rows, carried, packed_codes, remove_repeats, shards_for
+from tidewheel.llm.repeats import ANCHOR_SCHEMA, KNOWN, Units, anchor_rows, carried, hashed, packed_codes, remove_repeats, shards_for
 from tidewheel.llm.store import deleted, new_path, parts_for, releasing, text_bytes, written
 
 RUN = "bucket int, fps binary, ids binary"
@@ -96,6 +96,7 @@ class FingerprintIndex:
         self.spark, self.units, self.buckets, self.shards = spark, units, buckets, shards
         self.path = path or new_path(spark, "fp-index")
         self.runs: list[str] = []
+        self.scratch: list[DataFrame] = []  # what the candidates returned so far are read from
         self.made = self.version = 0
         if path:
             self._load()
@@ -131,10 +132,11 @@ class FingerprintIndex:
 
     def ingest(self, batch: DataFrame) -> DataFrame:
         """Candidates (shard, codes, ids) that the batch (doc_id, text) brings, of its own and of earlier documents."""
-        met = written(batch.select("doc_id", "text").mapInArrow(anchor_rows(self.units, self.buckets, self.shards), ANCHOR_SCHEMA), "fp-batch")
+        met = written(hashed(batch).mapInArrow(anchor_rows(self.units, self.buckets, self.shards), ANCHOR_SCHEMA), "fp-batch")
         new = met.where("bucket is not null").select("bucket", F.col("codes").alias("fps"), "ids", F.lit(-1).alias("age"))
         sides = [new, *(self._read(p).withColumn("age", F.lit(i)) for i, p in enumerate(self.runs))]
         joined = written(reduce(DataFrame.unionByName, sides).groupBy("bucket").applyInArrow(merge_join(self.shards), ANCHOR_SCHEMA), "fp-joined")
+        self.scratch += [met, joined]
         self.runs.append(self._add(joined.where("bucket is not null").select("bucket", F.col("codes").alias("fps"), "ids")))
         self._save()
         if len(self.runs) > FANOUT:

@@ -10,12 +10,16 @@ part small:
    find them in their own ways);
 2. shards: documents meet their candidate anchors; windows at candidate anchors
    are compared inside the shard, and the first of each is sent on;
-3. merge: first windows of all shards meet by anchor and are compared exactly;
+3. merge: first windows of neighbouring shards meet by anchor and are compared
+   exactly; the first ones go on to the next level, where groups of FAN times as
+   many shards meet, until all have met;
 4. finish: each document's removed units are put together.
 
 Only the first copy in a shard travels, so a passage in a third of all documents
-sends one copy per shard.  Order is (doc_id, start); null ids come last, and rows
-with one id are the same document given more than once: none is earlier.
+brings FAN copies into one task at most, at any level.  Order is (doc_id, start);
+null ids come last, and rows with one id are the same document given more than once:
+none is earlier.  A row is named by its token, a mix of its id and its text's hash,
+so rows that share an id (or have none) spread over the shards like others do.
 """
 
 from __future__ import annotations
@@ -32,7 +36,11 @@ from tidewheel.llm import kernels as K
 from tidewheel.llm.store import parts_for, written
 
 LAST = np.iinfo(np.int64).max
-#: in place of an anchor's document: the anchor is known to repeat.  A document that has this number as its id
+#: shards that meet in a task of the first level of the merge, and groups of them in one of the next
+FAN = 256
+#: text that meets in a task of the merge, about
+MERGE_BYTES = 8 << 20
+#: in place of an anchor's document: the anchor is known to repeat.  A document that has this number as its token
 #: counts as known everywhere, and its codes are sent at once
 KNOWN = np.iinfo(np.int64).min
 U64 = K.U64
@@ -108,9 +116,19 @@ def ids_of(column) -> np.ndarray:
     return (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).fill_null(LAST).to_numpy(zero_copy_only=False)
 
 
-def shard_of(ids: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of a document."""
-    return (ids ^ (ids >> 17)) % shards
+def tokens_of(ids: np.ndarray, th: np.ndarray) -> np.ndarray:
+    """The tokens of rows, from their ids and the hashes of their texts."""
+    return K.mix(ids.astype(np.int64).view(U64) ^ K.mix(th.astype(np.int64).view(U64))).view(np.int64)
+
+
+def shard_of(tokens: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a row."""
+    return (tokens.view(U64) % U64(shards)).astype(np.int64)
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, th, text: what anchor_rows takes."""
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
 
 
 def shards_for(size: int, each: int = 8 << 20) -> int:
@@ -118,7 +136,7 @@ def shards_for(size: int, each: int = 8 << 20) -> int:
 
 
 def anchor_rows(u: Units, buckets: int, shards: int, flush: int = 1 << 20):
-    """Map documents to (bucket, fingerprints, ids): one entry for each anchor hash of up to `flush` anchors.
+    """Map documents to (bucket, fingerprints, ids): one entry for each anchor hash of up to `flush` anchors; ids are tokens.
 
     An anchor met more than once here is known to repeat: its documents and codes
     go to rows with their shard at once, and its entry carries the id KNOWN.
@@ -156,7 +174,7 @@ def anchor_rows(u: Units, buckets: int, shards: int, flush: int = 1 << 20):
             h, uoff, _ = units_of(u, data, offsets)
             _, _, a, doc = anchor_runs(u, h, uoff)
             codes.append(code_of(a, buckets))
-            ids.append(ids_of(rows.column(0))[doc])
+            ids.append(tokens_of(ids_of(rows.column(0)), rows.column(1).to_numpy())[doc])
             held += len(a)
             if held >= flush:
                 yield from out(np.concatenate(codes), np.concatenate(ids))
@@ -223,7 +241,7 @@ def doc_rows(shards: int):
             if not b.num_rows:
                 continue
             docs = pa.Table.from_batches([b]).append_column("cover", pa.nulls(b.num_rows, pa.large_binary())).select(DOC.names).cast(DOC)
-            shard = shard_of(ids_of(docs.column("doc_id")), shards)
+            shard = shard_of(tokens_of(ids_of(docs.column("doc_id")), docs.column("th").to_numpy()), shards)
             order = np.argsort(shard, kind="stable")
             p = shard[order]
             cuts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1], [True]]))
@@ -394,7 +412,7 @@ RESULT = "doc_id bigint, th bigint, n_units bigint, n_removed bigint, n_spans bi
 SHARD = f"kind int, bucket int, meta binary, payload binary, {RESULT}, pack binary"
 #: text of waiting documents in one blob
 WAITING_BYTES = 1 << 20
-META = np.dtype([("doc", "<i8"), ("th", "<i8"), ("start", "<i8"), ("n", "<i4"), ("size", "<i4")])
+META = np.dtype([("doc", "<i8"), ("th", "<i8"), ("code", "<u8"), ("start", "<i8"), ("n", "<i4"), ("size", "<i4")])
 FOUND = np.dtype([("doc", "<i8"), ("th", "<i8"), ("start", "<i8"), ("n", "<i4")])
 COVER = np.dtype([("start", "<i8"), ("n", "<i8")])
 
@@ -405,7 +423,37 @@ def cover_blob(start, n) -> bytes:
     return out.tobytes()
 
 
-def shard_rows(u: Units, buckets: int, merge_buckets: int, keep_text: bool):
+@dataclass(frozen=True)
+class Level:
+    """A level of the merge: groups of `span` shards, each dealt out over `buckets` tasks by anchor."""
+
+    span: int
+    buckets: int
+
+    def bucket(self, shard, code: np.ndarray) -> np.ndarray:
+        return (np.asarray(shard) // self.span * self.buckets + (K.mix(code) % U64(self.buckets)).astype(np.int64)).astype(np.int64)
+
+
+def levels_for(shards: int, size: int) -> list[Level]:
+    """Levels until all shards have met; all tasks of a level together take `size` bytes, about MERGE_BYTES each."""
+    out, span = [], 1
+    while not out or span < shards:
+        span = min(span * FAN, shards)
+        groups = -(-shards // span)
+        out.append(Level(span, parts_for(size // groups, MERGE_BYTES)))
+    return out
+
+
+def by_bucket(meta: np.ndarray, bucket: np.ndarray, data: np.ndarray, begin: np.ndarray):
+    """Rows (bucket, meta, payload) of pieces that begin in data at these places."""
+    by = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[by][1:] != bucket[by][:-1], [True]])) if len(by) else np.zeros(1, np.int64)
+    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+        own = by[x:y]
+        yield int(bucket[own[0]]), packed(meta[own].tobytes()), packed(data[flat(begin[own], meta["size"][own].astype(np.int64))].tobytes())
+
+
+def shard_rows(u: Units, buckets: int, level: Level, keep_text: bool):
     """Work on one shard: documents and their candidate codes in; finished rows, pieces and waiting documents out.
 
     The bucket of a waiting row is its shard.
@@ -419,6 +467,7 @@ def shard_rows(u: Units, buckets: int, merge_buckets: int, keep_text: bool):
         docs = docs.sort_by([("doc_id", "ascending"), ("th", "ascending")])
         ids = ids_of(docs.column("doc_id"))
         ths = docs.column("th").to_numpy()
+        own = tokens_of(ids, ths)
         data, offsets = K.buffers(docs.column("text"))
         ccodes = np.frombuffer(b"".join(cand.column("codes").to_pylist()), "<u8")
         cids = np.frombuffer(b"".join(cand.column("ids").to_pylist()), "<i8")
@@ -431,7 +480,7 @@ def shard_rows(u: Units, buckets: int, merge_buckets: int, keep_text: bool):
             h, uoff, words = units_of(u, part, off)
             lo, m, a, d = anchor_runs(u, h, uoff)
             code = code_of(a, buckets)
-            k = K.mix(code ^ K.mix(ids[i:j][d].view(U64)))
+            k = K.mix(code ^ K.mix(own[i:j][d].view(U64)))
             at = np.searchsorted(wanted, k)
             hit = np.flatnonzero((at < len(wanted)) & (wanted[np.minimum(at, len(wanted) - 1)] == k)) if len(wanted) else np.zeros(0, np.int64)
             lo, m, d, code = lo[hit], m[hit], d[hit], code[hit]
@@ -454,8 +503,8 @@ def shard_rows(u: Units, buckets: int, merge_buckets: int, keep_text: bool):
             for k in names:
                 rows[k].append(x.get(k))
 
-        for b, meta, payload in pieces(merge_buckets, ids, ths):
-            add(kind=1, bucket=b, meta=packed(meta), payload=packed(payload))
+        for b, meta, payload in pieces(level, shard, ids, ths):
+            add(kind=1, bucket=b, meta=meta, payload=payload)
         for i, j in K.cut(np.concatenate([[0], np.cumsum(np.diff(offsets)[pend])]), WAITING_BYTES):
             covers = [cover_blob(*cover[d]) if d in cover else b"" for d in pend[i:j].tolist()]
             held = docs.take(pa.array(pend[i:j])).set_column(DOC.get_field_index("cover"), DOC.field("cover"), pa.array(covers, pa.large_binary()))
@@ -465,9 +514,9 @@ def shard_rows(u: Units, buckets: int, merge_buckets: int, keep_text: bool):
         for i in range(n):
             if i in waiting:
                 continue
-            own = cover.get(i)
+            found = cover.get(i)
             who = {"doc_id": None if ids[i] == LAST else int(ids[i]), "th": int(ths[i]), "rest": rests[i].as_py()}
-            total, gone, n_spans, sha, kept = result_of(u, data[offsets[i] : offsets[i + 1]], [own] if own else [], keep_text)
+            total, gone, n_spans, sha, kept = result_of(u, data[offsets[i] : offsets[i + 1]], [found] if found else [], keep_text)
             add(kind=0, n_units=total, n_removed=gone, n_spans=n_spans, kept_sha256=sha, kept_text=kept, **who)
         return pa.table({k: pa.array(rows[k], t) for k, t in zip(names, SHARD_TYPES, strict=True)})
 
@@ -525,20 +574,15 @@ def local_first(u: Units, data, parts, spans, ids):
     first = ~later
     pend = np.unique(doc[first])
 
-    def pieces(buckets: int, ids, ths):
+    def pieces(level: Level, shard: int, ids, ths):
         i = np.flatnonzero(first)
         new = np.concatenate([[True], (run[i][1:] != run[i][:-1]) | (start[i][1:] != start[i][:-1] + 1)])
         a = i[np.flatnonzero(new)]
         n = np.diff(np.append(np.flatnonzero(new), len(i)))
         z = a + n - 1
         meta = np.empty(len(a), META)
-        meta["doc"], meta["th"], meta["start"], meta["n"], meta["size"] = ids[doc[a]], ths[doc[a]], start[a], n, wend[z] - wstart[a]
-        b = (K.mix(code[run[a]]) % U64(buckets)).astype(np.int64)
-        by = np.argsort(b, kind="stable")
-        cuts = np.flatnonzero(np.concatenate([[True], b[by][1:] != b[by][:-1], [True]]))
-        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            own = by[x:y]
-            yield int(b[own[0]]), meta[own].tobytes(), text[flat(wstart[a[own]], meta["size"][own].astype(np.int64))].tobytes()
+        meta["doc"], meta["th"], meta["code"], meta["start"], meta["n"], meta["size"] = ids[doc[a]], ths[doc[a]], code[run[a]], start[a], n, wend[z] - wstart[a]
+        yield from by_bucket(meta, level.bucket(shard, meta["code"]), text, wstart[a])
 
     return pieces, doc, start, later, pend
 
@@ -561,8 +605,15 @@ def word_windows(raw: list, m: np.ndarray, width: int):
     return out, ns[w], ne[w + width - 1], ns[w + width - 1], joined, w
 
 
-def merge_rows(u: Units, shards: int):
-    """Compare the first windows of all shards in one bucket; return each document's windows that start earlier elsewhere."""
+MERGED = "shard int, cover binary, bucket int, meta binary, payload binary"
+
+
+def merge_rows(u: Units, shards: int, above: Level | None):
+    """Compare the first windows of a group of shards in one bucket.
+
+    Out come each document's windows that start earlier elsewhere, by shard, and
+    the pieces of the others for the level above, if there is one.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         meta = np.frombuffer(b"".join(unpacked(x) for x in table.column("meta").to_pylist()), META)
@@ -576,22 +627,26 @@ def merge_rows(u: Units, shards: int):
             joined[np.cumsum(m) - m] = False
         else:
             data, ws, we, tail, joined, _ = word_windows([data[o : o + s] for o, s in zip(off, size, strict=True)], m, u.width)
-        start = flat(meta["start"], m)
+        start, piece = flat(meta["start"], m), np.repeat(np.arange(len(m)), m)
         dense = np.unique(meta["doc"], return_inverse=True)[1]
         order = (np.repeat(dense, m).astype(np.int64) << 40) | start
         later = first_windows(data, ws, we, tail, joined, order) < order
-        pd_, ps, pn = runs_of(later, np.repeat(np.arange(len(m)), m), start)
+        pd_, ps, pn = runs_of(later, piece, start)
         out = np.empty(len(pd_), FOUND)
         out["doc"], out["th"], out["start"], out["n"] = meta["doc"][pd_], meta["th"][pd_], ps, pn
-        shard = shard_of(out["doc"], shards)
+        shard = shard_of(tokens_of(out["doc"], out["th"]), shards)
         by = np.argsort(shard, kind="stable")
         cuts = np.flatnonzero(np.concatenate([[True], shard[by][1:] != shard[by][:-1], [True]])) if len(by) else np.zeros(1, np.int64)
-        return pa.table(
-            {
-                "shard": pa.array(shard[by][cuts[:-1]].astype(np.int32) if len(by) else [], pa.int32()),
-                "cover": pa.array([packed(out[by[x:y]].tobytes()) for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
-            }
-        )
+        rows = [(int(shard[by[x]]), packed(out[by[x:y]].tobytes()), None, None, None) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        if above is not None:
+            kd, ks, kn = runs_of(~later, piece, start)
+            a = (np.cumsum(m) - m)[kd] + ks - meta["start"][kd]  # a kept run's first window
+            kept = meta[kd].copy()
+            kept["start"], kept["n"], kept["size"] = ks, kn, we[a + kn - 1] - ws[a]
+            home = shard_of(tokens_of(kept["doc"], kept["th"]), shards)
+            rows += [(None, None, *x) for x in by_bucket(kept, above.bucket(home, kept["code"]), data, ws[a])]
+        types = (pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(zip(("shard", "cover", "bucket", "meta", "payload"), types, strict=True))})
 
     return run
 
@@ -626,12 +681,19 @@ def finish_rows(u: Units, keep_text: bool):
 
 def remove_repeats(docs: DataFrame, u: Units, candidates: DataFrame, buckets: int, shards: int, size: int, keep_text: bool) -> DataFrame:
     """Steps 2 to 4 of the module's account.  docs: doc_id, text (not null), rest (carried along); candidates: CODES; size: bytes of text."""
-    merges = parts_for(size, 8 << 20)
     none = F.lit(None).cast("binary")
-    left = docs.select("doc_id", F.xxhash64("text").alias("th"), "text", "rest").mapInArrow(doc_rows(shards), PACK)
+    levels = levels_for(shards, size)
+    left = docs.select("doc_id", F.xxhash64("text").alias("th"), "text", "rest")
     right = candidates.select("shard", none.alias("pack"), "codes", "ids")
-    out = written(left.unionByName(right).groupBy("shard").applyInArrow(K.released(shard_rows(u, buckets, merges, keep_text)), SHARD), "repeat-shards")
-    found = out.where("kind = 1").select("bucket", "meta", "payload").groupBy("bucket").applyInArrow(K.released(merge_rows(u, shards)), "shard int, cover binary")
+    out = written(left.mapInArrow(doc_rows(shards), PACK).unionByName(right).groupBy("shard").applyInArrow(K.released(shard_rows(u, buckets, levels[0], keep_text)), SHARD), "repeat-shards")
+    pieces, found = out.where("kind = 1").select("bucket", "meta", "payload"), None
+    for i, above in enumerate([*levels[1:], None]):
+        merged = pieces.groupBy("bucket").applyInArrow(K.released(merge_rows(u, shards, above)), MERGED)
+        if above is not None:
+            merged = written(merged, f"repeat-level-{i}")
+            pieces = merged.where("bucket is not null").select("bucket", "meta", "payload")
+        late = merged.where("shard is not null").select("shard", "cover") if above is not None else merged.select("shard", "cover")
+        found = late if found is None else found.unionByName(late)
     waiting = out.where("kind = 2").select(F.col("bucket").alias("shard"), "pack", none.alias("cover"))
     both = waiting.unionByName(found.select("shard", none.alias("pack"), "cover"))
     done = both.groupBy("shard").applyInArrow(K.released(finish_rows(u, keep_text)), RESULT)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidewheel.llm import kernels as K
-from tidewheel.llm.repeats import ANCHOR_SCHEMA, CODES, KNOWN, NO_CODES, Units, anchor_rows, carried, packed_codes, remove_repeats, shards_for
-from tidewheel.llm.store import parts_for, text_bytes, written
+from tidewheel.llm.repeats import ANCHOR_SCHEMA, CODES, KNOWN, NO_CODES, Units, anchor_rows, carried, hashed, packed_codes, remove_repeats, shards_for
+from tidewheel.llm.store import discard, parts_for, text_bytes, written
 
 #: text of a shard: sorting its suffixes takes up to a hundred times as much memory
 SHARD_BYTES = 8 << 20
@@ -48,10 +48,11 @@ def suffix_dedup(docs: DataFrame, width: int = 100, keep_text: bool = False, car
     u = Units("bytes", width, 32, "suffix")
     _, size = text_bytes(docs)
     buckets, shards = parts_for(size, 64 << 20), shards_for(size, SHARD_BYTES)
-    met = written(docs.select("doc_id", "text").mapInArrow(anchor_rows(u, buckets, shards), ANCHOR_SCHEMA), "suffix-anchors")
+    met = written(hashed(docs).mapInArrow(anchor_rows(u, buckets, shards), ANCHOR_SCHEMA), "suffix-anchors")
     known = met.where("bucket is null").select("shard", "codes", "ids")
     found = met.where("bucket is not null").select("bucket", "codes", "ids").groupBy("bucket").applyInArrow(repeated_codes(shards), CODES)
     out = remove_repeats(docs, u, known.unionByName(found), buckets, shards, size, keep_text)
+    discard(met)
     cols = ["doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256"]
     rest = F.from_json("rest", StructType(fields))
     return out.select(*cols, *(["kept_text"] if keep_text else []), *(rest[f.name].alias(f.name) for f in fields))
