@@ -1,86 +1,5 @@
-"""Corpus preparation: quality rules, near-duplicates, repeated passages, benchmark leaks, tokens.
+"""Corpus preparation, in stages that are run one after the other.  The stages are in tidewheel/llm/pipeline.py."""
 
-Every stage keeps the columns of documents (doc_id, text, lang, source, n_chars;
-others are dropped) but for the last, which returns tokens.  Each row is judged
-on its own: a stage numbers the rows and joins its decisions on that number, so
-rows without a doc_id, and rows that share one, are documents like any other.
-"""
+from tidewheel.llm.pipeline import ORACLE_SQL, STAGES, leaks, near, passages, quality, run, tokens
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tidewheel.llm.bpe import bpe_round_trip
-from tidewheel.llm.decontam import contaminated
-from tidewheel.llm.neardup import near_duplicates
-from tidewheel.llm.queries import vocabulary
-from tidewheel.llm.rules import quality_rules
-from tidewheel.llm.store import written
-from tidewheel.llm.suffix import suffix_dedup
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def keyed(docs: DataFrame, ordered: bool = False) -> DataFrame:
-    """docs with `key`, a number for each row, written down; if ordered, it rises with doc_id (null ids last)."""
-    rows = docs.select(*COLUMNS)
-    if ordered:
-        rows = rows.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    return written(rows.withColumn("key", F.monotonically_increasing_id()), "keyed")
-
-
-def by_key(docs: DataFrame, *more: str) -> DataFrame:
-    """docs as operators take them: the key is the id."""
-    return docs.selectExpr("key as doc_id", "text", "lang", "source", *more)
-
-
-def only(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """The rows of docs whose key is (left_semi) or is not (left_anti) a doc_id of keys."""
-    keys = keys.select(F.col("doc_id").alias("k"))
-    return docs.join(keys, docs["key"] == keys["k"], how).select(*COLUMNS)
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    docs = keyed(docs)
-    return only(docs, quality_rules(by_key(docs)).where("kept"), "left_semi")
-
-
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
-    docs = keyed(docs, ordered=True)
-    return only(docs, near_duplicates(by_key(docs), shingle=5, percent=80).where("kept"), "left_semi")
-
-
-def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go; n_chars says what is left.  A character that loses a byte goes with it."""
-    docs = keyed(docs, ordered=True)
-    out = suffix_dedup(by_key(docs, "doc_id as id"), width=100, keep_text=True, carry=["id", "lang", "source"])
-    return out.select(F.col("id").alias("doc_id"), F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("bigint").alias("n_chars"))
-
-
-def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    docs = keyed(docs)
-    pairs = contaminated(by_key(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=80)
-    return only(docs, pairs.select("doc_id").distinct(), "left_anti")
-
-
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, digests of the ids and of the decoded text, and the ids."""
-    return bpe_round_trip(docs, vocabulary(), keep_ids=True)
-
-
-STAGES = [("quality_rules", quality), ("near_duplicates", near), ("repeated_passages", passages), ("benchmark_leaks", leaks), ("tokens", tokens)]
-
-#: the second, third and last stage are not expressible in SQL
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each written and read again before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "leaks", "near", "passages", "quality", "run", "tokens"]
