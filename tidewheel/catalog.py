@@ -35,8 +35,14 @@ def add(name: str, query: Query, sql: str | None) -> None:
         SQL[name] = sql
 
 
+#: the numbers and other columns of each query of hourly features
+SHOWN: dict[str, list[str]] = {}
+
+
 def feature(name: str, build: Callable[[DataFrame], DataFrame], doubles: list[str], others: list[str], sql: str, source: Callable = hourly, digits: int = 6) -> None:
     add(name, lambda spark, d: show(build(source(spark, d)), doubles, others, digits), sql)
+    if source is hourly:
+        SHOWN[name] = [*doubles, *others]
 
 
 # ---- indicators -------------------------------------------------------------------------------------------------
@@ -133,12 +139,49 @@ _s = f"""{S.CANDLES}, d AS (SELECT symbol, CAST(ts AS DATE) AS day, max(high) AS
     LEFT JOIN k ON k.symbol = c.symbol AND k.wk = CAST(date_trunc('week', c.ts) AS DATE) - CASE WHEN isodow(c.ts) = 7 THEN 7 ELSE 14 END)"""
 feature("win22_liquidity", structure.liquidity, _c, [], final(_s, _c))
 
-_s = f"""{S.CANDLES}, g AS (SELECT *, {safe('close', lag('close'))} - 1 AS r1, ({safe('volume', lag('volume'))} - 1) * 100 AS vc FROM candles {W()}),
-  f AS (SELECT c.symbol, c.ts, x.close AS "BTC_Close", x.r1 AS "BTC_Return_1h", x.vc AS "BTC_Volume_Change" FROM g c LEFT JOIN g x ON x.symbol = 'purchase' AND c.symbol <> 'purchase' AND x.ts = c.ts)"""
-feature("jn01_market_context", lambda c: structure.market_context(compute(c, ["returns", "momentum", "volatility", "volume", "trend_state"]), "purchase"), ["BTC_Close", "BTC_Return_1h", "BTC_Volume_Change"], [], final(_s, ["BTC_Close", "BTC_Return_1h", "BTC_Volume_Change"]))
+#: the context's columns, and the query and column that each of them but the close comes from
+CONTEXT_FROM = {"Close": ("", ""), "Return_1h": ("win01_returns", "Return_1h"), "RSI_14": ("win05_rsi", "RSI_14"), "ATR_14": ("win09_atr", "ATR_14"), "BB_Width": ("win10_bollinger", "BB_Width"), "Trend": ("seq01_trend", "Current_Trend"), "Volume_Change": ("win13_volume", "Volume_Change_Pct"), "Volatility_24": ("win11_volatility", "Historical_Volatility")}
+
+
+def context_sql() -> str:
+    """The context symbol's columns, from the twins of the queries that show them."""
+    parts = ["WITH " + S.CANDLES + f", keys AS (SELECT symbol, {S.BAR}, close FROM candles), b0 AS (SELECT bar, round(close, 6) AS \"BTC_Close\" FROM keys WHERE symbol = 'purchase')"]
+    cols, joins = ['"BTC_Close"'], ["LEFT JOIN b0 ON b0.bar = k.bar AND k.symbol <> 'purchase'"]
+    for i, (name, (query, column)) in enumerate(list(CONTEXT_FROM.items())[1:], 1):
+        parts.append(f"b{i} AS (SELECT bar, \"{column}\" AS \"BTC_{name}\" FROM ({SQL[query]}) WHERE symbol = 'purchase')")
+        joins.append(f"LEFT JOIN b{i} ON b{i}.bar = k.bar AND k.symbol <> 'purchase'")
+        cols.append(f'"BTC_{name}"')
+    return f"{', '.join(parts)} SELECT k.symbol, k.bar, {', '.join(cols)} FROM keys k {' '.join(joins)}"
+
+
+_CONTEXT = [f"BTC_{k}" for k in CONTEXT_FROM if k != "Trend"]
+add("jn01_market_context", lambda spark, d: show(structure.market_context(compute(hourly(spark, d), ["returns", "momentum", "volatility", "volume", "trend_state"]), "purchase"), _CONTEXT, ["BTC_Trend"]), context_sql())
+
+
+def all_features(spark: SparkSession, d: str) -> DataFrame:
+    """Every feature of a whole run: by symbol and feature, the values there are and their mean."""
+    f = compute(hourly(spark, d))
+    names = [c for c in f.columns if c not in ("symbol", "ts", *quality.NUMBERS)]
+    cells = [x for i, c in enumerate(names) for x in (F.count(F.col(f"`{c}`")).alias(f"n{i}"), F.avg(F.col(f"`{c}`").cast("double")).alias(f"m{i}"))]
+    wide = f.groupBy("symbol").agg(*cells)
+    long = wide.select("symbol", F.expr(f"stack({len(names)}, " + ", ".join(f"'{c}', n{i}, m{i}" for i, c in enumerate(names)) + ") as (feature, n, mean)"))
+    return long.withColumn("mean", F.round("mean", 4))
+
+
+def all_features_sql() -> str:
+    """The same from the twins of the feature queries."""
+    one = lambda q, c: f"SELECT symbol, '{c}' AS feature, count(\"{c}\") AS n, round(avg(CAST(\"{c}\" AS DOUBLE)), 4) AS mean FROM {q} GROUP BY symbol"
+    seen, with_, parts = set(), [], []
+    for q, columns in SHOWN.items():
+        new = [c for c in columns if c not in seen]
+        seen |= set(new)
+        if new:
+            with_.append(f"q_{q} AS MATERIALIZED ({SQL[q]})")
+            parts += [one(f"q_{q}", c) for c in new]
+    return f"WITH {', '.join(with_)} {' UNION ALL '.join(parts)}"
+
 
-add("plan_all_features", lambda spark, d: compute(hourly(spark, d)).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.count("SMA_50").alias("sma_50"), F.count("RSI_14").alias("rsi_14"), F.count("ATR_14").alias("atr_14"), F.count("Fib_Level_500").alias("fib_500")),
-    f"WITH {S.CANDLES} SELECT symbol, count(*) AS n, greatest(count(*) - 49, 0) AS sma_50, greatest(count(*) - 14, 0) AS rsi_14, greatest(count(*) - 13, 0) AS atr_14, count(*) AS fib_500 FROM candles GROUP BY symbol")
+add("plan_all_features", all_features, all_features_sql())
 
 # ---- data quality -----------------------------------------------------------------------------------------------
 
@@ -185,12 +228,30 @@ ISSUES = f"""{DIRTY}, t AS (SELECT * FROM dirty WHERE ts IS NOT NULL),
     UNION ALL SELECT symbol, 'MISSING_HOURLY_CANDLES', count(*) FROM missing GROUP BY symbol
     UNION ALL SELECT symbol, 'BAD_TIMESTAMP_FORMAT', count(*) FROM dirty WHERE ts IS NULL GROUP BY symbol)"""
 add("val03_issues", lambda s, d: quality.issues(dirty(s, d)).select("symbol", "code", "n"), f"WITH {ISSUES} SELECT symbol, code, n FROM issues")
-add("val16_report", lambda s, d: quality.report(dirty(s, d)),
-    f"""WITH {ISSUES} SELECT a.symbol, a.n AS row_count, round(a.n * 100.0 / a.h, 3) AS coverage, coalesce(b.codes, '') AS issue_codes,
-    CASE WHEN b.worst = 1 THEN 'FAIL' WHEN b.worst = 0 THEN 'WARN' ELSE 'PASS' END AS status
-    FROM (SELECT symbol, count(*) AS n, date_diff('hour', min(ts), max(ts)) + 1 AS h FROM t GROUP BY symbol) a
-    LEFT JOIN (SELECT symbol, string_agg(code, ';' ORDER BY code) AS codes, max(CASE WHEN code IN ('MISSING_HOURLY_CANDLES', 'LARGE_PRICE_JUMPS') THEN 0 ELSE 1 END) AS worst FROM issues GROUP BY symbol) b USING (symbol)""")
-add("val18_status_counts", lambda s, d: quality.report(dirty(s, d)).groupBy("status").agg(F.count(F.lit(1)).alias("n")), f"WITH {ISSUES} SELECT 'FAIL' AS status, count(DISTINCT symbol) AS n FROM issues WHERE code = 'NAN_VALUES'")
+REPORTED = f"""{ISSUES}, base AS (SELECT symbol, count(*) AS rows, min(ts) AS start, max(ts) AS "end", round(count(*) * 100.0 / (date_diff('hour', min(ts), max(ts)) + 1), 3) AS coverage_pct FROM t GROUP BY symbol),
+  runs AS (SELECT symbol, min(ts) AS a, max(ts) AS b, count(*) AS n FROM (SELECT *, ts - INTERVAL 1 HOUR * row_number() OVER (PARTITION BY symbol ORDER BY ts) AS run FROM missing) GROUP BY symbol, run),
+  roll AS (SELECT symbol, CAST(sum(n) AS BIGINT) AS missing_candles, count(*) AS gap_count, max(n) AS largest_gap, first(a ORDER BY n DESC, a) AS ga, first(b ORDER BY n DESC, a) AS gb FROM runs GROUP BY symbol),
+  worst AS (SELECT symbol, string_agg(code, ';' ORDER BY code) AS codes, count(*) FILTER (code NOT IN ('MISSING_HOURLY_CANDLES', 'LARGE_PRICE_JUMPS')) AS c, count(*) FILTER (code IN ('MISSING_HOURLY_CANDLES', 'LARGE_PRICE_JUMPS')) AS w,
+    max(CASE code WHEN 'DUPLICATE_ROWS' THEN 1 ELSE 0 END) AS f1, max(CASE code WHEN 'DUPLICATE_TIMESTAMPS' THEN 1 ELSE 0 END) AS f2, max(CASE code WHEN 'OUT_OF_ORDER_TIMESTAMPS' THEN 1 ELSE 0 END) AS f3 FROM issues GROUP BY symbol),
+  reported AS (SELECT base.symbol, CASE WHEN c > 0 THEN 'FAIL' WHEN w > 0 THEN 'WARN' ELSE 'PASS' END AS status, rows, CAST(floor(epoch(start) / 3600) AS BIGINT) AS start, CAST(floor(epoch("end") / 3600) AS BIGINT) AS "end", coverage_pct,
+    coalesce(missing_candles, 0) AS missing_candles, coalesce(gap_count, 0) AS gap_count, largest_gap, CAST(floor(epoch(ga) / 3600) AS BIGINT) AS largest_gap_start, CAST(floor(epoch(gb) / 3600) AS BIGINT) AS largest_gap_end,
+    CAST(coalesce(c, 0) AS INT) AS critical_issues, CAST(coalesce(w, 0) AS INT) AS warning_issues, coalesce(codes, '') AS issue_codes,
+    concat_ws(';', CASE WHEN f1 = 1 THEN 'dropped duplicate rows' END, CASE WHEN f2 = 1 THEN 'dropped duplicate timestamps' END, CASE WHEN f3 = 1 THEN 'sorted by timestamp' END) AS fixes_applied
+    FROM base LEFT JOIN roll USING (symbol) LEFT JOIN worst USING (symbol))"""
+
+
+def mixed(s, d):
+    """The faulty candles of some symbols, and sound ones of others, so that more than one status comes up."""
+    clean = hourly(s, d).where("symbol in ('purchase', 'view')").withColumn("row_idx", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")))
+    return dirty(s, d).where("symbol not in ('purchase', 'view')").unionByName(clean.select(*quality.CANDLE, F.col("row_idx").cast("bigint").alias("row_idx")))
+
+
+MIXED = REPORTED.replace("t AS (SELECT * FROM dirty WHERE ts IS NOT NULL)", "clean AS (SELECT symbol, ts, open, high, low, close, volume, quote_volume, trades, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS row_idx FROM candles WHERE symbol IN ('purchase', 'view')), d2 AS (SELECT * FROM dirty WHERE symbol NOT IN ('purchase', 'view') UNION ALL BY NAME SELECT * FROM clean), t AS (SELECT * FROM d2 WHERE ts IS NOT NULL)").replace("FROM dirty WHERE ts IS NULL", "FROM d2 WHERE ts IS NULL")
+_bars = ("start", "end", "largest_gap_start", "largest_gap_end")
+add("val16_report", lambda s, d: quality.report(mixed(s, d), fixed=True).withColumns({c: bar(c) for c in _bars}), f"WITH {MIXED} SELECT * FROM reported")
+add("val18_status_counts", lambda s, d: quality.report(mixed(s, d)).groupBy("status").agg(F.count(F.lit(1)).alias("n")), f"WITH {MIXED} SELECT status, count(*) AS n FROM reported GROUP BY status")
+add("val10_missing_by_column", lambda s, d: quality.missing_by_column(dirty(s, d)), f"WITH {DIRTY}, t AS (SELECT * FROM dirty WHERE ts IS NOT NULL) " + " UNION ALL ".join(f"SELECT symbol, '{c}' AS column, count(*) FILTER ({c} IS NULL) AS nulls, count(*) FILTER (isinf(CAST({c} AS DOUBLE))) AS infinite FROM t GROUP BY symbol" for c in quality.NUMBERS))
+add("val15_largest_jump", lambda s, d: quality.profile(dirty(s, d)).select("symbol", F.round("largest_jump", 6).alias("largest_jump")), f"WITH {ISSUES} SELECT symbol, round(max(abs(close / nullif(last_close, 0) - 1)), 6) AS largest_jump FROM m GROUP BY symbol")
 
 _miss = f"{S.CANDLES}, span AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM candles GROUP BY symbol), missing AS (SELECT * FROM span ANTI JOIN candles USING (symbol, ts))"
 _gaps = f"{_miss}, runs AS (SELECT *, ts - INTERVAL 1 HOUR * row_number() OVER (PARTITION BY symbol ORDER BY ts) AS run FROM missing), gaps AS (SELECT symbol, min(ts) AS a, max(ts) AS b, count(*) AS n FROM runs GROUP BY symbol, run)"
@@ -221,7 +282,9 @@ add("ing06_internal_gaps", lambda s, d: quality.internal_gaps(hourly(s, d)).sele
     f"WITH {S.CANDLES} SELECT symbol, {_hr('ts')} + 1 AS fetch_start, {_hr('nxt')} - 1 AS fetch_end FROM (SELECT *, lead(ts) OVER ({S.OVER}) AS nxt FROM candles) WHERE nxt > ts + INTERVAL 1 HOUR")
 add("cln05_keep_last", lambda s, d: show(quality.keep_last(dirty(s, d).where("ts is not null")), ["close"]), final(f"{DIRTY}, f AS (SELECT * FROM dirty WHERE ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY row_idx DESC) = 1)", ["close"]))
 add("cln04_warm_up", lambda s, d: show(quality.warmed_up(compute(hourly(s, d), ["trend", "momentum", "volatility"])), ["SMA_50"]), final(f"{S.CANDLES}, f AS (SELECT * FROM (SELECT symbol, ts, {r('avg', 'close', 50)} AS \"SMA_50\" FROM candles {W(50)}) WHERE \"SMA_50\" IS NOT NULL)", ["SMA_50"]))
-add("cln03_finite", lambda s, d: quality.finite(dirty(s, d), ["open"]).groupBy("symbol").agg(F.count("open").alias("n")), f"WITH {DIRTY} SELECT symbol, count(*) FILTER (open IS NOT NULL AND NOT isinf(open)) AS n FROM dirty GROUP BY symbol")
+add("cln03_finite", lambda s, d: quality.finite(dirty(s, d), _num).select("symbol", "row_idx", *(F.round(c, 6).alias(c) for c in _num)), f"WITH {DIRTY} SELECT symbol, row_idx, {', '.join(f'round(CASE WHEN NOT isinf({c}) THEN {c} END, 6) AS {c}' for c in _num)} FROM dirty")
+add("cln03_infinite_cells", lambda s, d: quality.infinite_cells(dirty(s, d).where("ts is not null"), _num).select("symbol", bar().alias("bar"), "column", F.signum("value").cast("int").alias("sign")),
+    f"WITH {DIRTY} " + " UNION ALL ".join(f"SELECT symbol, {S.BAR}, '{c}' AS column, CAST(sign({c}) AS INT) AS sign FROM dirty WHERE ts IS NOT NULL AND isinf({c})" for c in _num))
 add("win27_lookback", lambda s, d: show(quality.lookback(hourly(s, d), 100), ["close"]), final(f"{S.CANDLES}, f AS (SELECT * FROM candles QUALIFY ts >= max(ts) OVER (PARTITION BY symbol) - INTERVAL 100 HOUR)", ["close"]))
 add("src19_last_times", lambda s, d: last_times(hourly(s, d)).select("symbol", bar("first_ts").alias("first_bar"), bar("last_ts").alias("last_bar")), f"WITH {S.CANDLES} SELECT symbol, min({_hr('ts')}) AS first_bar, max({_hr('ts')}) AS last_bar FROM candles GROUP BY symbol")
 add("snk04_merge", lambda s, d: show(quality.merge_tables(hourly(s, d), hourly(s, d).withColumn("close", F.col("close") + 1).withColumn("ts", F.expr("ts + interval 1 hour"))), ["close"]),
@@ -269,7 +332,12 @@ def reduced(s, d):
     return s.createDataFrame([(x, "kept") for x in m.kept] + [(x, "low_variance") for x in m.low_variance] + [(x, "correlated") for x in m.correlated], "feature string, verdict string")
 
 
-add("ml05_reduction", reduced, "SELECT * FROM (VALUES ('constant', 'low_variance'), ('close', 'correlated'), ('close_2', 'kept'), ('volume', 'kept')) t(feature, verdict)")
+add("ml05_reduction", reduced, f"""WITH {S.CANDLES}, x AS (SELECT 1.0 AS constant, close, close * 2 AS close_2, volume FROM candles),
+  v AS (SELECT * FROM (SELECT 'constant' AS feature, 0 AS i, coalesce(var_samp(constant), 0) AS v FROM x UNION ALL SELECT 'close', 1, var_samp(close) FROM x UNION ALL SELECT 'close_2', 2, var_samp(close_2) FROM x UNION ALL SELECT 'volume', 3, var_samp(volume) FROM x)),
+  r AS (SELECT 'close' AS a, 'close_2' AS b, abs(corr(close, close_2)) AS r FROM x UNION ALL SELECT 'close', 'volume', abs(corr(close, volume)) FROM x UNION ALL SELECT 'close_2', 'volume', abs(corr(close_2, volume)) FROM x),
+  rr AS (SELECT a, b, r FROM r UNION ALL SELECT b, a, r FROM r), mean AS (SELECT a, round((1 + sum(r)) / 3, 9) AS m FROM rr GROUP BY a),
+  first AS (SELECT r.*, CASE WHEN ma.m >= mb.m THEN r.a ELSE r.b END AS loser FROM r JOIN mean ma ON ma.a = r.a JOIN mean mb ON mb.a = r.b WHERE r > 0.95 ORDER BY r.a, r.b LIMIT 1)
+SELECT feature, CASE WHEN v <= 1e-6 THEN 'low_variance' WHEN feature IN (SELECT loser FROM first) THEN 'correlated' ELSE 'kept' END AS verdict FROM v""")
 add("ml07_robust_scaler", lambda s, d: show(prepare.RobustScaler().fit(hourly(s, d), ["close", "volume"]).transform(hourly(s, d)), ["close", "volume"]),
     final(f"{S.CANDLES}, q AS (SELECT quantile_cont(close, 0.5) AS m1, quantile_cont(close, 0.75) - quantile_cont(close, 0.25) AS r1, quantile_cont(volume, 0.5) AS m2, quantile_cont(volume, 0.75) - quantile_cont(volume, 0.25) AS r2 FROM candles), f AS (SELECT symbol, ts, (close - m1) / CASE WHEN r1 = 0 THEN 1 ELSE r1 END AS close, (volume - m2) / CASE WHEN r2 = 0 THEN 1 ELSE r2 END AS volume FROM candles, q)", ["close", "volume"]))
 

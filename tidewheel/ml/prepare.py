@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,9 +32,12 @@ def targets(df: DataFrame, horizons: tuple[int, ...] = HORIZONS, steps_per_day:
     return df.withColumns({f"log_return_{h}d": F.ln(F.lead(p, h * steps_per_day).over(w) / p) for h in horizons})
 
 
-def valid_rows(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """Rows whose target and features are all there."""
-    return df.na.drop("any", subset=[*features, target])
+def valid_rows(df: DataFrame, features: list[str], target: str, check: bool = False) -> DataFrame:
+    """Rows whose target and features are all there; with check, none left raises (an action)."""
+    out = df.na.drop("any", subset=[*features, target])
+    if check and out.isEmpty():
+        raise ValueError(f"no row has {target} and all of {len(features)} features")
+    return out
 
 
 def fold_table(sizes: DataFrame, train: float | int = 0.6, val: float | int = 0.1, step: float | int = 0.1, embargo: int = 0) -> DataFrame:
@@ -69,14 +74,51 @@ def variances(df: DataFrame, features: list[str]) -> DataFrame:
     return row.select(F.expr(f"stack({len(features)}, " + ", ".join(f"'{c}', `{c}`" for c in features) + ") as (feature, variance)"))
 
 
+def product_sums(df: DataFrame, features: list[str]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows without a missing feature, their means, sums of products around the means, and a shift; one pass.
+
+    Each Arrow batch gives one row with its own means and products, which are put together
+    pairwise here: a row for each task, of a size that follows from the features alone.
+    """
+    k = len(features)
+
+    def run(batches):
+        n, mean, m2 = 0, np.zeros(k), np.zeros((k, k))
+        for b in batches:
+            x = np.stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in b.columns], 1)
+            n, mean, m2 = merged_sums((n, mean, m2), (len(x), x.mean(0), (x - x.mean(0)).T @ (x - x.mean(0)))) if len(x) else (n, mean, m2)
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([mean.tolist()], pa.list_(pa.float64())), pa.array([m2.ravel().tolist()], pa.list_(pa.float64()))], ["n", "mean", "m2"])
+
+    whole = df.select(*(F.col(f"`{c}`").cast("double") for c in features)).na.drop()
+    total = (0, np.zeros(k), np.zeros((k, k)))
+    for r in whole.mapInArrow(run, "n bigint, mean array<double>, m2 array<double>").toLocalIterator():
+        total = merged_sums(total, (r["n"], np.array(r["mean"]), np.array(r["m2"]).reshape(k, k)))
+    return total
+
+
+def merged_sums(a, b):
+    """Rows, means and products of two sets of rows taken together."""
+    (na, ma, ca), (nb, mb, cb) = a, b
+    if not na or not nb:
+        return b if nb else a
+    n, d = na + nb, mb - ma
+    return n, ma + d * nb / n, ca + cb + np.outer(d, d) * (na * nb / n)
+
+
+def correlation_matrix(df: DataFrame, features: list[str]) -> np.ndarray:
+    """Absolute Pearson correlations of all features over rows that miss none of them; 0 where one does not vary."""
+    _, _, m2 = product_sums(df, features)
+    sd = np.sqrt(np.diag(m2))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = np.abs(m2 / np.outer(sd, sd))
+    return np.where(np.isfinite(r), r, 0.0)
+
+
 def correlations(df: DataFrame, features: list[str]) -> DataFrame:
-    """f1, f2, r: absolute Pearson correlations of all pairs f1 before f2, in one pass (null counts as 0)."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    aggs = [F.coalesce(F.abs(F.corr(a, b)), F.lit(0.0)).alias(f"p{k}") for k, (a, b) in enumerate(pairs)]
-    row = df.agg(*aggs) if aggs else None
-    if row is None:
-        return df.sparkSession.createDataFrame([], "f1 string, f2 string, r double")
-    return row.select(F.expr(f"stack({len(pairs)}, " + ", ".join(f"'{a}', '{b}', p{k}" for k, (a, b) in enumerate(pairs)) + ") as (f1, f2, r)"))
+    """f1, f2, r: absolute Pearson correlations of all pairs f1 before f2, in one pass (0 where one does not vary)."""
+    r = correlation_matrix(df, features) if features else np.zeros((0, 0))
+    pairs = [(a, b, float(r[i, j])) for i, a in enumerate(features) for j, b in enumerate(features) if i < j]
+    return df.sparkSession.createDataFrame(pairs, "f1 string, f2 string, r double")
 
 
 @dataclass
@@ -99,15 +141,16 @@ class FeatureReducer:
             best = max(features, key=lambda c: var[c])
             self.low_variance.remove(best)
             left = [best]
-        r = {(x["f1"], x["f2"]): x["r"] for x in correlations(df, left).collect()}
-        both = r | {(b, a): v for (a, b), v in r.items()}
-        mean = {a: (1.0 + sum(both[a, b] for b in left if b != a)) / len(left) for a in left}
+        m = correlation_matrix(df, left)
+        r = {(a, b): float(m[i, j]) for i, a in enumerate(left) for j, b in enumerate(left) if i < j}
+        mean = dict(zip(left, m.mean(1).tolist(), strict=True))
         gone: set[str] = set()
         self.pairs = []
         for (a, b), v in ((p, r[p]) for i, x in enumerate(left) for p in ((x, y) for y in left[i + 1 :])):
-            if v > self.most_correlation and a not in gone and b not in gone:
-                self.pairs.append((a, b, v))
-                gone.add(a if mean[a] >= mean[b] else b)
+            if v > self.most_correlation:
+                self.pairs.append((a, b, v))  # every pair above the threshold is on record
+                if a not in gone and b not in gone:
+                    gone.add(a if mean[a] >= mean[b] else b)
         self.correlated = [c for c in left if c in gone]
         self.kept = [c for c in left if c not in gone]
         self.fitted = True
@@ -131,6 +174,64 @@ class FeatureReducer:
         return cls(**json.loads(text))
 
 
+#: up to this many rows percentiles come from one aggregate, which holds every distinct value in one place
+ONE_BUFFER = 2_000_000
+
+
+def quantiles(df: DataFrame, columns: list[str], points: tuple[float, ...]) -> dict[str, list[float] | None]:
+    """Exact interpolated percentiles of each column; None for a column without values.
+
+    Larger tables are cut into ranges of each column's values instead: the rows in
+    each range say which one holds a wanted rank, and only that range is sorted.
+    """
+    counts = df.agg(F.count(F.lit(1)).alias("_n"), *(F.count(c).alias(c) for c in columns)).first()
+    if counts["_n"] <= ONE_BUFFER:
+        row = df.agg(*(F.percentile(c, F.array(*map(F.lit, points))).alias(c) for c in columns)).first()
+        return {c: row[c] for c in columns}
+    return {c: ranked_values(df.select(F.col(c).cast("double").alias("x")).where("x is not null"), counts[c], points) for c in columns}
+
+
+def ranked_values(x: DataFrame, n: int, points: tuple[float, ...], bins: int = 4096) -> list[float] | None:
+    """Percentiles of x by rank: values between neighbouring sketch points are counted, and the ranges that hold a rank are narrowed until few values are left."""
+    if not n:
+        return None
+    at = sorted({k for p in points for k in (int(p * (n - 1)), min(int(p * (n - 1)) + 1, n - 1))})
+    found = {}
+    for k in at:
+        r = x.agg(F.min("x"), F.max("x")).first()
+        lo, hi, below = float(r[0]), float(r[1]), 0
+        while True:
+            inside = x.where(F.col("x").between(lo, hi))
+            m = inside.count()
+            if m <= ONE_BUFFER or lo == hi:
+                break
+            width = (hi - lo) / bins
+            if lo + width == lo or not np.isfinite(width):
+                break
+            cell = F.least(F.floor((F.col("x") - lo) / width), F.lit(bins - 1)).cast("int")
+            held = inside.groupBy(cell.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("b").collect()  # bins rows
+            for c in held:
+                if below + c["n"] > k:
+                    lo, hi = c["lo"], c["hi"]
+                    break
+                below += c["n"]
+        if lo == hi:
+            found[k] = lo
+        else:
+            values = inside.groupBy("x").agg(F.count(F.lit(1)).alias("n")).orderBy("x").toLocalIterator()
+            seen = below
+            for v in values:
+                seen += v["n"]
+                if seen > k:
+                    found[k] = v["x"]
+                    break
+    out = []
+    for p in points:
+        k, f = int(p * (n - 1)), p * (n - 1) - int(p * (n - 1))
+        out.append(found[k] + (found[min(k + 1, n - 1)] - found[k]) * f)
+    return out
+
+
 @dataclass
 class RobustScaler:
     """(x - median) / interquartile range, exact percentiles of the training rows; a range of 0 counts as 1."""
@@ -139,8 +240,8 @@ class RobustScaler:
 
     def fit(self, df: DataFrame, columns: list[str] | None = None) -> RobustScaler:
         columns = columns if columns is not None else [c for c, t in df.dtypes if t in ("double", "float", "int", "bigint")]
-        row = df.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns)).first()
-        self.stats = {c: (row[c][1], (row[c][2] - row[c][0]) or 1.0) for c in columns if row[c] is not None}
+        q = quantiles(df, columns, (0.25, 0.5, 0.75))
+        self.stats = {c: (q[c][1], (q[c][2] - q[c][0]) or 1.0) for c in columns if q[c] is not None}
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

@@ -84,12 +84,6 @@ def near_zones(bars: DataFrame, zones: DataFrame) -> DataFrame:
     return b.join(z, ["symbol", "bin"]).where(F.col("i").between(F.col("ci"), F.col("ci") + MAX_AGE)).drop("bin")
 
 
-def nearest(joined: DataFrame, **out: Column) -> DataFrame:
-    """For each bar the zone whose middle is nearest, the oldest on ties."""
-    near = F.struct(F.abs(F.col("close") - F.col("mid")), F.col("ci"))
-    return joined.groupBy("symbol", "i").agg(*(F.min_by(x, near).alias(k) for k, x in out.items()))
-
-
 def order_blocks(df: DataFrame) -> DataFrame:
     """Order blocks: the last opposite bar before a strong move that breaks the swing.  Needs ATR_14 and swings."""
     df = numbered(df)
@@ -110,25 +104,28 @@ def order_blocks(df: DataFrame) -> DataFrame:
         "Bullish": (far | (move >= OB_MOVE)) & (c > F.col("_ref")) & (c > F.col("Last_Swing_High")) & F.col("_bear").isNotNull(),
         "Bearish": (far | (move <= -OB_MOVE)) & (c < F.col("_ref")) & (c < F.col("Last_Swing_Low")) & F.col("_bull").isNotNull(),
     }
-    out = df
-    for side, made in sides.items():
-        z = F.col("_bear" if side == "Bullish" else "_bull")
-        zones = df.where(made).select("symbol", F.col("i").alias("ci"), z["zlo"].alias("zlo"), z["zhi"].alias("zhi"))
-        j = near_zones(df, zones).withColumn("mid", (F.col("zlo") + F.col("zhi")) / 2)
-        hits = Window.partitionBy("symbol", "ci").orderBy("i")
-        j = j.withColumn("retests", F.sum(F.col("close").between(F.col("zlo"), F.col("zhi")).cast("int")).over(hits))
-        got = nearest(j, mid=F.col("mid"), ci=F.col("ci"), retests=F.col("retests"))
-        got = got.select(F.col("symbol").alias("_s"), F.col("i").alias("_i"), "mid", "ci", "retests")
-        out = out.join(got, (out["symbol"] == got["_s"]) & (out["i"] == got["_i"]), "left").withColumns(
+    # one table of zones for both sides, joined once
+    made = F.array(*(F.struct(F.lit(k).alias("side"), F.coalesce(on, F.lit(False)).alias("on"), F.col(z)["zlo"].alias("zlo"), F.col(z)["zhi"].alias("zhi")) for k, (on, z) in enumerate(zip(sides.values(), ("_bear", "_bull"), strict=True))))
+    zones = df.select("symbol", F.col("i").alias("ci"), F.explode(made).alias("z")).where("z.on").select("symbol", "ci", "z.side", "z.zlo", "z.zhi")
+    j = near_zones(df, zones).withColumn("mid", (F.col("zlo") + F.col("zhi")) / 2)
+    hits = Window.partitionBy("symbol", "ci", "side").orderBy("i")
+    j = j.withColumn("retests", F.sum(F.col("close").between(F.col("zlo"), F.col("zhi")).cast("int")).over(hits))
+    near = F.struct(F.abs(F.col("close") - F.col("mid")), F.col("ci"))
+    pick = lambda k: F.min_by(F.struct("mid", "ci", "retests"), F.when(F.col("side") == k, near))
+    got = j.groupBy("symbol", "i").agg(*(pick(k).alias(f"_{side}") for k, side in enumerate(sides)))
+    got = got.withColumnsRenamed({"symbol": "_s", "i": "_i"})
+    out = df.join(got, (df["symbol"] == got["_s"]) & (df["i"] == got["_i"]), "left")
+    for side in sides:
+        z = F.col(f"_{side}")
+        out = out.withColumns(
             {
-                f"{side}_OB_Exists": F.col("ci").isNotNull().cast("int"),
-                f"Distance_To_{side}_OB": ratio(F.col("close") - F.col("mid"), F.col("close")),
-                f"{side}_OB_Age": F.col("i") - F.col("ci"),
-                f"{side}_OB_Retest_Count": F.coalesce(F.col("retests"), F.lit(0)).cast("int"),
+                f"{side}_OB_Exists": z["ci"].isNotNull().cast("int"),
+                f"Distance_To_{side}_OB": ratio(F.col("close") - z["mid"], F.col("close")),
+                f"{side}_OB_Age": F.col("i") - z["ci"],
+                f"{side}_OB_Retest_Count": F.coalesce(z["retests"], F.lit(0)).cast("int"),
             }
         )
-        out = out.drop("_s", "_i", "mid", "ci", "retests")
-    return out.drop("i", "_ref", "_bear", "_bull")
+    return out.drop("i", "_ref", "_bear", "_bull", "_s", "_i", *(f"_{side}" for side in sides))
 
 
 def fair_value_gaps(df: DataFrame) -> DataFrame:
