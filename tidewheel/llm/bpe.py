@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +25,22 @@ INSIDE = 4
 FAN = 8
 
 
-@lru_cache(1 << 16)
+#: classes of the first characters met
+KINDS: dict[str, int] = {}
+
+
 def kind_of(c: str) -> int:
     """Class of a character in PATTERN: 1 letter, 2 number, 3 other, 4 white space; 0 if versions of Unicode may not agree on it."""
+    if c in KINDS:
+        return KINDS[c]
     now, once = unicodedata.category(c)[0], unicodedata.ucd_3_2_0.category(c)
     if now == "C" and c not in "\t\n\v\f\r" or once not in ("Cn", unicodedata.category(c)):
-        return 0
-    return 4 if c.isspace() else {"L": 1, "N": 2}.get(now, 3)
+        k = 0
+    else:
+        k = 4 if c.isspace() else {"L": 1, "N": 2}.get(now, 3)
+    if len(KINDS) < 1 << 16:
+        KINDS[c] = k
+    return k
 
 
 def safe_edges(window: str) -> tuple[np.ndarray, np.ndarray]:
