@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewheel import sinks
-from tidewheel.ml import evaluate, prepare
+from tidewheel.config import ExperimentConfig, TargetConfig
+from tidewheel.ml import evaluate, local, prepare
+from tidewheel.ml import run as experiment
 from tidewheel.operators import indicators, mapping, quality, structure
 from tidewheel.oracle import sql as S
 from tidewheel.plans.features import compute
+from tidewheel.sources import rest
 from tidewheel.sources.candles import daily, hourly, last_times, parse_klines, table
-from tidewheel.streaming import ticker
+from tidewheel.streaming import live, ticker
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -309,6 +312,32 @@ def klines(s, d):
 
 add("src10_klines", lambda s, d: show(parse_klines(klines(s, d)), ["open", "high", "low", "close", "volume"], ["trades"]), final(f"{S.CANDLES}, f AS (SELECT * REPLACE (CASE WHEN row_number() OVER ({S.OVER}) % 37 = 0 THEN NULL ELSE low END AS low) FROM candles)", ["open", "high", "low", "close", "volume"], ["trades"]))
 
+add("ing05_rejected", lambda s, d: quality.rejected(quality.repair(dirty(s, d))).select("symbol", bar().alias("bar"), "reason"),
+    f"""WITH {DIRTY}, g AS (SELECT * FROM dirty WHERE ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY row_idx) = 1),
+    r AS (SELECT *, coalesce(open > 0 AND high > 0 AND low > 0 AND close > 0 AND volume >= 0 AND quote_volume >= 0 AND trades >= 0 AND NOT isinf(open), false) AS valid FROM g)
+    SELECT symbol, {S.BAR}, CASE WHEN NOT valid THEN 'INVALID_NUMBER' ELSE 'OHLC_INCONSISTENT' END AS reason FROM r WHERE NOT valid OR high < low OR high < open OR high < close OR low > open OR low > close""")
+
+
+def ingestion(s, d):
+    """Candles that lack every seventh bar, with the whole table as the source that gaps are filled from."""
+    w = Window.partitionBy("symbol").orderBy("ts")
+    source = hourly(s, d).select(*quality.CANDLE)
+    have = source.withColumn("_i", F.row_number().over(w)).where("_i % 7 <> 3").drop("_i")
+
+    def fetch(ranges: DataFrame) -> DataFrame:
+        r = ranges.select(F.col("symbol").alias("_s"), F.explode(F.sequence("fetch_start", "fetch_end", F.expr("interval 1 hour"))).alias("_t"))
+        return source.join(r, (F.col("symbol") == F.col("_s")) & (F.col("ts") == F.col("_t"))).drop("_s", "_t")
+
+    return quality.ingested(have, fetch)
+
+
+_ing = f"""{S.CANDLES}, n AS (SELECT *, row_number() OVER ({S.OVER}) AS i FROM candles), have AS (SELECT * FROM n WHERE i % 7 <> 3), span AS (SELECT symbol, min(ts) AS lo, max(ts) AS hi FROM have GROUP BY symbol),
+  whole AS (SELECT n.*, i % 7 = 3 AS filled FROM n JOIN span USING (symbol) WHERE ts BETWEEN lo AND hi), g AS (SELECT *, open > 0 AND low > 0 AND high > 0 AND close > 0 AS fine FROM whole)"""
+add("ing07_ingested", lambda s, d: show(ingestion(s, d)[0], _num, ["trades"]), final(f"{_ing}, f AS (SELECT * FROM g WHERE fine)", _num, ["trades"]))
+add("agg07_run_totals", lambda s, d: sinks.run_totals(ingestion(s, d)[2].withColumn("status", F.when(F.col("candles") > 600, "OK").otherwise("FAILED"))),
+    f"""WITH {_ing}, t AS (SELECT symbol, count(*) FILTER (fine) AS candles, count(*) FILTER (filled) AS gaps_filled, count(*) FILTER (NOT fine) AS rejected FROM g GROUP BY symbol)
+    SELECT count(*) AS coins, count(*) FILTER (candles > 600) AS ok, 0::BIGINT AS skipped, count(*) FILTER (candles <= 600) AS failed, CAST(sum(candles) AS BIGINT) AS candles, CAST(sum(gaps_filled) AS BIGINT) AS gaps_filled, 0::BIGINT AS corrected, CAST(sum(rejected) AS BIGINT) AS rejected FROM t""")
+
 # ---- targets, folds, reduction, scaling, scores -------------------------------------------------------------------
 
 _t = {f"log_return_{h}d": f"ln(CASE WHEN lead(close, {h}) OVER w > 0 AND close > 0 THEN lead(close, {h}) OVER w / close END)" for h in prepare.HORIZONS}
@@ -391,6 +420,79 @@ add("agg12_fold_average", lambda s, d: averaged(s, d).select("symbol", *(F.round
 add("sel01_winner", lambda s, d: evaluate.ranked(evaluate.composite_score(averaged(s, d).withColumns({"coin": F.lit("all"), "model": F.col("symbol")}), ["coin"]), ["coin"]).where("is_winner").select("coin", "model", F.round("score", 6).alias("score")),
     f"WITH {PREDICTED}, {AVERAGED}, x AS (SELECT *, abs(picp - 0.9) AS miss FROM av), y AS (SELECT symbol, 0.4 * ({_lo('rmse')} + {_lo('mae')}) / 2 + 0.35 * ({_lo('miss')} + {_lo('mpiw')}) / 2 + 0.2 * {_up('direction_accuracy')} + 0.05 * {_lo('training_time_seconds')} AS score FROM x) SELECT 'all' AS coin, symbol AS model, round(score, 6) AS score FROM y ORDER BY score DESC, symbol LIMIT 1")
 
+
+
+def by_horizon(s, d):
+    """The baseline's metrics one and two days ahead, averaged over both."""
+    out = None
+    for h in (1, 2):
+        w = Window.partitionBy("symbol")
+        t = prepare.targets(daily(s, d), (h,), 1, check=False).withColumns({"i": F.row_number().over(w.orderBy("ts")) - 1, "n": F.count(F.lit(1)).over(w)}).withColumnRenamed(f"log_return_{h}d", "y")
+        t = t.where("y is not null").withColumn("train", F.col("i") < F.floor(F.col("n") * 0.6))
+        q = evaluate.naive_quantiles(t.where("train"), "y", ["symbol"])
+        m = evaluate.metrics(t.where("not train").join(q, "symbol"), ["symbol"]).withColumns({"horizon": F.lit(h), "training_time_seconds": F.lit(0.5 * h), "model_size_bytes": F.lit(10 * h).cast("bigint")})
+        out = m if out is None else out.unionByName(m)
+    return evaluate.average_folds(out, ["symbol"], "horizon")
+
+
+def _horizon(h: int) -> str:
+    body = f"{PREDICTED}, {METRICS}".replace("lead(close) OVER w", f"lead(close, {h}) OVER w")
+    return f"(WITH {body} SELECT *, {h} AS horizon FROM m)"
+
+
+add("agg13_horizon_average", lambda s, d: by_horizon(s, d).select("symbol", *(F.round(c, 6).alias(c) for c in _av), "training_time_seconds", "model_size_bytes"),
+    f"SELECT symbol, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _av)}, CAST(sum(0.5 * horizon) AS DOUBLE) AS training_time_seconds, CAST(max(horizon) * 10 AS BIGINT) AS model_size_bytes FROM (SELECT * FROM {_horizon(1)} UNION ALL SELECT * FROM {_horizon(2)}) GROUP BY symbol")
+
+
+def baseline_run(s, d):
+    """Every symbol's baseline one day ahead: folds, averages and the refitted model."""
+    c = ExperimentConfig(target=TargetConfig(horizons=[1], steps_per_day=1))
+    f = daily(s, d).select("symbol", "ts", "close", "volume")
+    pairs = f.select("symbol").distinct().withColumn("model", F.lit("NaiveQuantiles"))
+    return f, experiment.trained(f, pairs, c, "exp_001")
+
+
+RUN = f"""{S.DAILY}, y0 AS (SELECT *, ln(CASE WHEN lead(close) OVER w > 0 AND close > 0 THEN lead(close) OVER w / close END) AS y FROM candles {W()}),
+  v AS (SELECT symbol, ts, y, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM y0 WHERE y IS NOT NULL AND volume IS NOT NULL),
+  z AS (SELECT symbol, max(n) AS n, CAST(floor(max(n) * 0.6) AS BIGINT) AS t, CAST(floor(max(n) * 0.1) AS BIGINT) AS s FROM v GROUP BY symbol),
+  k AS (SELECT symbol, t + j * s AS te, t + j * s + s AS ve FROM (SELECT *, unnest(range(0, 20)) AS j FROM z) WHERE t + j * s + s <= n),
+  q AS (SELECT symbol, te, ve, quantile_cont(y, 0.05) AS lower, quantile_cont(y, 0.5) AS point, quantile_cont(y, 0.95) AS upper FROM v JOIN k USING (symbol) WHERE i < te GROUP BY ALL),
+  m AS (SELECT symbol, te, sqrt(avg((point - y) ** 2)) AS rmse, avg(abs(point - y)) AS mae, quantile_cont(abs(point - y), 0.5) AS median_ae, avg(CAST(y BETWEEN lower AND upper AS DOUBLE)) AS picp, avg(upper - lower) AS mpiw, avg(CAST(sign(y) = sign(point) AS DOUBLE)) AS dir_accuracy FROM v JOIN q USING (symbol) WHERE i >= te AND i < ve GROUP BY ALL)"""
+_rc = ["rmse", "mae", "median_ae", "picp", "mpiw", "dir_accuracy"]
+add("ml09_run", lambda s, d: baseline_run(s, d)[1].select("symbol", "model", "horizon", "status", "n_rows", "n_folds", *(F.round(c, 6).alias(c) for c in _rc)),
+    f"WITH {RUN} SELECT m.symbol, 'NaiveQuantiles' AS model, 1 AS horizon, 'ok' AS status, any_value(z.n) AS n_rows, CAST(count(*) AS INT) AS n_folds, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _rc)} FROM m JOIN z USING (symbol) GROUP BY m.symbol")
+
+
+def next_prices(s, d):
+    f, found = baseline_run(s, d)
+    best, _ = experiment.production(found, experiment.selected(found))
+    return experiment.predicted(best, f, 1)
+
+
+add("ml12_predictor", lambda s, d: next_prices(s, d).select("symbol", "model", *(F.round(c, 4).alias(c) for c in ("ref_price", "lower_price", "median_price", "upper_price"))),
+    f"""WITH {RUN}, l AS (SELECT symbol, last(close ORDER BY ts) AS p FROM candles WHERE volume IS NOT NULL GROUP BY symbol), a AS (SELECT symbol, quantile_cont(y, 0.05) AS lo, quantile_cont(y, 0.5) AS mid, quantile_cont(y, 0.95) AS hi FROM v GROUP BY symbol)
+    SELECT symbol, 'NaiveQuantiles' AS model, round(p, 4) AS ref_price, round(p * exp(lo), 4) AS lower_price, round(p * exp(mid), 4) AS median_price, round(p * exp(hi), 4) AS upper_price FROM l JOIN a USING (symbol)""")
+
+
+def autoregression(s, d):
+    """The next forecast of a second-order autoregression on each symbol's daily log returns."""
+    r = prepare.targets(daily(s, d), (1,), 1, check=False).where("log_return_1d is not null").select("symbol", "ts", F.col("log_return_1d").alias("y"))
+
+    def work(pdf):
+        y = pdf.sort_values("ts")["y"].to_numpy(float)
+        lo, point, hi = local.make("ARIMA").fit(y[:, None], y).predict(y[:1, None])
+        return pdf.iloc[:1][["symbol"]].assign(point=point[0], width=hi[0] - lo[0])
+
+    return r.groupBy("symbol").applyInPandas(work, "symbol string, point double, width double")
+
+
+add("ml11_autoregression", lambda s, d: autoregression(s, d).select("symbol", F.round("point", 6).alias("point"), F.round("width", 6).alias("width")),
+    f"""WITH {S.DAILY}, y0 AS (SELECT symbol, ts, ln(lead(close) OVER w / close) AS y FROM candles {W()}), r AS (SELECT symbol, ts, y, lag(y) OVER w AS a, lag(y, 2) OVER w AS b FROM y0 WHERE y IS NOT NULL {W()}),
+    o AS (SELECT *, y - avg(y) OVER p AS dy, a - avg(a) OVER p AS da, b - avg(b) OVER p AS db FROM r WHERE b IS NOT NULL WINDOW p AS (PARTITION BY symbol)),
+    g AS (SELECT symbol, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, sum(da * da) AS saa, sum(db * db) AS sbb, sum(da * db) AS sab, sum(da * dy) AS say, sum(db * dy) AS sby, sum(dy * dy) AS syy, last(y ORDER BY ts) AS y1, last(a ORDER BY ts) AS y2 FROM o GROUP BY symbol),
+    c AS (SELECT *, (say * sbb - sby * sab) / (saa * sbb - sab * sab) AS b1, (sby * saa - say * sab) / (saa * sbb - sab * sab) AS b2 FROM g)
+    SELECT symbol, round(my + b1 * (y1 - ma) + b2 * (y2 - mb), 6) AS point, round(2 * 1.6448536269514722 * sqrt((syy - b1 * say - b2 * sby) / (n - 3)), 6) AS width FROM c""")
+
 # ---- mapping ----------------------------------------------------------------------------------------------------
 
 PRIORITY = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
@@ -435,6 +537,31 @@ add("jn05_snapshot", lambda s, d: mapping.snapshot(mapped(s, d), mapping.select_
 add("snk15_first_candle", lambda s, d: mapping.set_first_candle(mapped(s, d).withColumn("first_candle", F.lit(0).cast("bigint")), markets(s, d).where("idx % 2 = 0").select(F.col("symbol").alias("market"), F.col("idx").alias("first_candle"))).select("rank", "market", "first_candle"),
     f"WITH {MAPPED} SELECT rank, market, CASE WHEN CAST(substr(market, 2) AS BIGINT) % 2 = 0 THEN CAST(substr(market, 2) AS BIGINT) ELSE 0 END AS first_candle FROM mapped")
 
+add("snk02_review", lambda s, d: mapping.status_counts(mapping.split_review(mapped(s, d))[1]), f"WITH {MAPPED} SELECT status, count(*) AS n FROM mapped WHERE status IN ('NOT_LISTED', 'STABLECOIN_SKIP') GROUP BY status")
+add("prj02_pick", lambda s, d: mapping.pick(mapping.ready_coins(mapped(s, d)), limit=20).unionByName(mapping.pick(mapped(s, d), "77")).select("rank", "symbol", "status"),
+    f"WITH {MAPPED} SELECT * FROM (SELECT rank, symbol, status FROM mapped WHERE status = 'READY' ORDER BY rank LIMIT 20) UNION ALL SELECT rank, symbol, status FROM mapped WHERE symbol = '77'")
+add("jn08_rank_info", lambda s, d: mapping.with_rank_info(mapping.select_top(mapped(s, d), 50).select("symbol", "selection_order"), mapped(s, d)).select("symbol", F.col("selection_order").cast("bigint").alias("selection_order"), "rank", "market"),
+    f"WITH {MAPPED} SELECT symbol, row_number() OVER (ORDER BY rank) AS selection_order, rank, market FROM mapped WHERE status = 'READY' ORDER BY rank LIMIT 50")
+
+
+def payloads(s, d):
+    """A ranking, market lists and ticker lists as a server sends them, 16 pages each, from customer and orders."""
+    c = table(s, d, "customer")
+    quote = F.array(F.struct(F.lit("EUR").alias("name"), F.lit(0.0).alias("price")), F.struct(F.lit("USD").alias("name"), F.col("c_acctbal").alias("price")))
+    coin = F.struct(F.when(F.col("c_custkey") % 50 != 0, F.col("c_custkey")).alias("cmcRank"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("symbol"), quote.alias("quotes"))
+    ranked = c.groupBy(F.pmod("c_custkey", F.lit(16))).agg(F.to_json(F.struct(F.struct(F.collect_list(coin).alias("cryptoCurrencyList")).alias("data"))).alias("value"))
+    o = table(s, d, "orders")
+    market = F.struct(F.concat(F.lit("M"), F.col("o_orderkey").cast("string")).alias("symbol"), F.col("o_custkey").cast("string").alias("baseAsset"), F.col("o_orderpriority").alias("quoteAsset"), F.col("o_orderstatus").alias("status"))
+    listed = o.groupBy(F.pmod("o_orderkey", F.lit(16))).agg(F.to_json(F.struct(F.collect_list(market).alias("symbols"))).alias("value"))
+    tick = F.struct(F.col("o_orderkey"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("symbol"), F.col("o_totalprice").cast("string").alias("quoteVolume"), F.col("o_orderkey").alias("count"))
+    ticked = o.groupBy(F.pmod("o_custkey", F.lit(16))).agg(F.to_json(F.array_sort(F.collect_list(tick))).alias("value"))
+    return ranked, listed, ticked
+
+
+add("src01_ranking", lambda s, d: rest.parse_ranking(payloads(s, d)[0]).select("Rank", "CMC_ID", "Name", "Symbol", "Price_USD"), "SELECT CAST(c_custkey AS INT) AS \"Rank\", CAST(c_custkey AS INT) AS \"CMC_ID\", c_name AS \"Name\", c_mktsegment AS \"Symbol\", c_acctbal AS \"Price_USD\" FROM customer WHERE c_custkey % 50 <> 0")
+add("src02_markets", lambda s, d: rest.parse_markets(payloads(s, d)[1]).select("symbol", "base", "quote", "status"), "SELECT concat('M', o_orderkey) AS symbol, CAST(o_custkey AS VARCHAR) AS base, o_orderpriority AS quote, o_orderstatus AS status FROM orders")
+add("src03_tickers", lambda s, d: rest.parse_tickers(payloads(s, d)[2]).select("symbol", F.col("quote_volume").cast("double").alias("quote_volume"), "trades"), "SELECT concat('C', o_custkey) AS symbol, last(o_totalprice ORDER BY o_orderkey) AS quote_volume, max(o_orderkey) AS trades FROM orders GROUP BY o_custkey")
+
 # ---- streams ----------------------------------------------------------------------------------------------------
 
 
@@ -460,3 +587,7 @@ _o = "symbol, seq, round(last_price, 6) AS last_price, round(volume, 6) AS volum
 add("str01_ticker_merge", lambda s, d: state(ticker.merged_batch(ticks(s, d))), f"WITH {TICKS} SELECT {_o} FROM ok")
 add("str02_emit_on_mini", lambda s, d: state(ticker.merged_batch(ticks(s, d), "mini")), f"WITH {TICKS} SELECT {_o} FROM ok WHERE mini")
 add("str09_sampled", lambda s, d: ticker.sampled(ticker.merged_batch(ticks(s, d))).select("symbol", "tick", F.round(F.col("last_price").cast("double"), 6).alias("last_price")), f"WITH {TICKS} SELECT symbol, CAST(floor(seq / 1000) AS BIGINT) AS tick, round(last(last_price ORDER BY seq), 6) AS last_price FROM ok GROUP BY 1, 2")
+add("str03_event_time_windows", lambda s, d: live.windowed(ticker.merged_batch(ticks(s, d)), "1 second").select("symbol", F.unix_seconds("ts").alias("second"), *(F.round(c, 6).alias(c) for c in ("open", "high", "low", "close")), "n"),
+    f"WITH {TICKS} SELECT symbol, CAST(floor(seq / 1000) AS BIGINT) AS second, round(first(last_price ORDER BY seq), 6) AS open, round(max(last_price), 6) AS high, round(min(last_price), 6) AS low, round(last(last_price ORDER BY seq), 6) AS close, count(*) AS n FROM ok GROUP BY 1, 2")
+add("str06_flushes", lambda s, d: live.flushes(ticker.merged_batch(ticks(s, d)), 10).groupBy("symbol", "flush").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last_seq")),
+    f"WITH {TICKS}, o AS (SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY seq) - 1) // 10 AS flush FROM ok) SELECT symbol, flush, count(*) AS n, max(seq) AS last_seq FROM o GROUP BY ALL")

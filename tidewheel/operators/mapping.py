@@ -28,22 +28,28 @@ def available(markets: DataFrame) -> DataFrame:
     return m.groupBy("base").agg(F.array_join(F.array_sort(F.collect_list("symbol")), ";").alias("available_markets"))
 
 
+#: fixed values: points and labels of a match's parts, and the scores from which a match is high and medium
+POINTS = {"SYMBOL": 50, "FIRST_QUOTE": 20, "STABLE_QUOTE": 15, "TRADING": 10, "HIGH_VOLUME": 10, "GOOD_VOLUME": 5}
+HIGH_VOLUME, GOOD_VOLUME = 1_000_000, 100_000
+HIGH_SCORE, MEDIUM_SCORE = 90, 75
+
+
 def confidence(symbol: Column, base: Column, quote: Column, status: Column, volume: Column, priority: list[str] = QUOTE_PRIORITY, stable: tuple[str, ...] = ("FDUSD", "USDC")) -> dict[str, Column]:
     """Score, level and reasons of a match."""
     first = quote == priority[0]
     same = F.upper(symbol) == F.upper(base)
     parts = [
-        (same, 50, "SYMBOL"),
-        (first, 20, priority[0]),
-        (~first & quote.isin(*stable), 15, "STABLE_QUOTE"),
-        (status == "TRADING", 10, "TRADING"),
-        (volume > 1_000_000, 10, "HIGH_VOLUME"),
-        ((volume > 100_000) & (volume <= 1_000_000), 5, "GOOD_VOLUME"),
+        (same, POINTS["SYMBOL"], "SYMBOL"),
+        (first, POINTS["FIRST_QUOTE"], priority[0]),
+        (~first & quote.isin(*stable), POINTS["STABLE_QUOTE"], "STABLE_QUOTE"),
+        (status == "TRADING", POINTS["TRADING"], "TRADING"),
+        (volume > HIGH_VOLUME, POINTS["HIGH_VOLUME"], "HIGH_VOLUME"),
+        ((volume > GOOD_VOLUME) & (volume <= HIGH_VOLUME), POINTS["GOOD_VOLUME"], "GOOD_VOLUME"),
     ]
     yes = lambda x: F.coalesce(x, F.lit(False))
     place = rank_of(quote, priority)
     score = sum((F.when(yes(x), n).otherwise(0) for x, n, _ in parts), F.greatest(F.lit(0), F.coalesce(11 - place, F.lit(0))))
-    level = F.when(score >= 90, "HIGH").when(score >= 75, "MEDIUM").otherwise("LOW")
+    level = F.when(score >= HIGH_SCORE, "HIGH").when(score >= MEDIUM_SCORE, "MEDIUM").otherwise("LOW")
     reasons = F.array_join(F.array(*(F.when(yes(x), name) for x, _, name in parts)), ",")
     return {"score": score.cast("int"), "level": level, "reason": reasons}
 
@@ -76,6 +82,46 @@ def map_coins(ranking: DataFrame, markets: DataFrame, tickers: DataFrame, priori
     )
 
 
+def listed_details(mapped: DataFrame, tickers: DataFrame) -> DataFrame:
+    """mapped with last_price, volume_24h, trades_24h and price_change_24h of the market (null where none is listed)."""
+    number = lambda c: F.col(c).cast("string").try_cast("double")
+    t = tickers.select(F.col("symbol").alias("_t"), number("last_price").alias("last_price"), number("quote_volume").alias("volume_24h"), F.col("trades").cast("bigint").alias("trades_24h"), number("price_change_percent").alias("price_change_24h"))
+    return mapped.join(t, mapped["market"] == t["_t"], "left").drop("_t")
+
+
+def split_review(mapped: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Coins that are mapped to a market, and those to look at: not listed, or skipped."""
+    review = F.col("status").isin("NOT_LISTED", "STABLECOIN_SKIP")
+    return mapped.where(~review), mapped.where(review)
+
+
+def summary_text(mapped: DataFrame) -> str:
+    """Totals, and the coins to look at by status; a line for each status."""
+    ready, review = split_review(mapped)
+    n, m = ready.count(), review.count()
+    lines = [f"Total coins : {n + m}", f"Ready : {n}", f"Review : {m}"]
+    if m:
+        lines += ["", "Review by status"] + [f"{r['status']:<25}{r['n']}" for r in status_counts(review).collect()]
+    return "\n".join(lines)
+
+
+def pick(mapped: DataFrame, symbol: str | None = None, limit: int | None = None) -> DataFrame:
+    """The coin with this symbol (in any case), and the best-ranked `limit` coins."""
+    out = mapped if symbol is None else mapped.where(F.upper("symbol") == symbol.upper())
+    return out if limit is None else out.orderBy("rank", "symbol").limit(limit)
+
+
+def ready_coins(mapped: DataFrame) -> DataFrame:
+    """Coins with status READY, best rank first."""
+    return mapped.where("status = 'READY'").orderBy("rank", "symbol")
+
+
+def with_rank_info(selected: DataFrame, mapped: DataFrame) -> DataFrame:
+    """selected (symbol) with rank, status and market of the coin's first row by rank."""
+    info = mapped.groupBy(F.col("symbol").alias("_s")).agg(F.min_by(F.struct("rank", "status", "market"), "rank").alias("i"))
+    return selected.join(info, selected["symbol"] == info["_s"], "left").select(*(selected[c] for c in selected.columns), "i.rank", "i.status", "i.market")
+
+
 def status_counts(mapped: DataFrame) -> DataFrame:
     return mapped.groupBy("status").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "status")
 

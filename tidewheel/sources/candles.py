@@ -56,14 +56,15 @@ def parse_klines(raw: DataFrame) -> DataFrame:
     return keep_first(d).drop("row_idx")
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Candle files <SYMBOL>.csv; lines that do not parse are kept in _corrupt_record, and missing columns raise."""
+def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Candle files <SYMBOL>.csv; lines that do not parse are kept in _corrupt_record, and a file without a needed column raises."""
     names = "timestamp string, open double, high double, low double, close double, volume double, quote_volume double, trades bigint, _corrupt_record string"
-    head = spark.read.text(path).select("value").where("value like '%timestamp%'").first()
-    have = [x.strip() for x in head["value"].split(",")] if head else []
     need = [x.split()[0] for x in names.split(", ")][:-1]
-    if missing := [x for x in need if x not in have]:
-        raise ValueError(f"missing columns: {missing}")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line"))
+    head = lines.where("at = 0").groupBy("path").agg(F.min_by("value", "line").alias("header"))
+    lost = F.array_except(F.array(*map(F.lit, need)), F.transform(F.split("header", ","), lambda x: F.trim(x)))
+    if bad := head.select("path", lost.alias("lost")).where(F.size("lost") > 0).first():
+        raise ValueError(f"missing columns: {bad['lost']} in {bad['path']}")
     d = spark.read.schema(names).option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE").csv(path)
     symbol = F.upper(F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1))
     idx = F.monotonically_increasing_id()
