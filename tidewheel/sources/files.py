@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,15 +14,11 @@ ISSUE = "symbol string, code string, severity string, n bigint, message string"
 
 
 def listed(spark: SparkSession, folder: str, ending: str = ".csv") -> DataFrame:
-    """symbol, path, size of the files <SYMBOL><ending> of a folder; contents are not read."""
-    symbol = F.upper(F.regexp_extract("path", rf"([^/]+){ending.replace('.', chr(92) + '.')}$", 1))
-    try:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{ending}").load(folder)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], "symbol string, path string, size bigint")
-    return files.select(symbol.alias("symbol"), "path", F.col("length").alias("size"))
+    """symbol, path, size of the files <SYMBOL><ending> of a folder; contents are not read.  A row for each coin, listed by the driver."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*{ending}")
+    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob) or []
+    rows = [(x.getPath().getName()[: -len(ending)].upper(), x.getPath().toString(), x.getLen()) for x in found if x.isFile()]
+    return spark.createDataFrame(rows, "symbol string, path string, size bigint")
 
 
 def heads(spark: SparkSession, folder: str, ending: str = ".csv") -> DataFrame:
@@ -35,7 +30,7 @@ def heads(spark: SparkSession, folder: str, ending: str = ".csv") -> DataFrame:
         F.min_by("value", F.struct("at", "line")).alias("header"),
         F.count(F.lit(1)).alias("lines"),
         F.max(F.size(F.split("value", ","))).alias("widest"),
-        F.max(F.col("value").contains("�").cast("int")).alias("garbled"),
+        F.max((~F.is_valid_utf8("value")).cast("int")).alias("garbled"),
     )
     return found
 
