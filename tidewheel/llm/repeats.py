@@ -39,7 +39,7 @@ LAST = np.iinfo(np.int64).max
 #: shards that meet in a task of the first level of the merge, and groups of them in one of the next
 FAN = 256
 #: text that meets in a task of the merge, about
-MERGE_BYTES = 8 << 20
+MERGE_BYTES = 6 << 20
 #: in place of an anchor's document: the anchor is known to repeat.  A document that has this number as its token
 #: counts as known everywhere, and its codes are sent at once
 KNOWN = np.iinfo(np.int64).min
@@ -266,31 +266,42 @@ def suffix_groups(seg: np.ndarray, width: int):
     pad = np.concatenate([seg, np.zeros(width + 16, np.uint8)])
     key = np.zeros(n + width + 8, U64)
     for j in range(8):
-        key = (key << U64(8)) | pad[j : j + n + width + 8]
-    sa = np.argsort(key[:n])
+        key <<= U64(8)
+        key |= pad[j : j + n + width + 8]
+    del pad
+    # positions and ranks have 32 bits: a shard's text is far smaller
+    sa = np.argsort(key[:n]).astype(np.int32)
     ks = key[sa]
-    rank = np.zeros(n + 2 * width, U64)
+    rank = np.zeros(n + 2 * width, np.uint32)
     new = np.concatenate([[True], ks[1:] != ks[:-1]])
-    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank[sa] = first.astype(U64) + U64(1)
-    single = new & np.append(new[1:], True)
-    slots = np.flatnonzero(~single)
+    del ks
+    first = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), np.int32(0)))
+    rank[sa] = first + 1
+    del first
+    slots = np.flatnonzero(~(new & np.append(new[1:], True))).astype(np.int32)
     depth = 8
     while depth < width and len(slots):
         act = sa[slots]
-        k2 = (rank[act] << U64(32)) | rank[act + depth]
+        k2 = rank[act].astype(U64)
+        k2 <<= U64(32)
+        k2 |= rank[act + depth]
         order = np.argsort(k2)
-        act, k2 = act[order], k2[order]
+        act = act[order]
+        k2 = k2[order]
+        del order
         sa[slots] = act
         new = np.concatenate([[True], k2[1:] != k2[:-1]])
-        start = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
-        rank[act] = start.astype(U64) + U64(1)
+        del k2
+        start = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots), dtype=np.int32), np.int32(0)))]
+        rank[act] = start.astype(np.uint32) + np.uint32(1)
+        del start, act
         slots = slots[~(new & np.append(new[1:], True))]
         depth *= 2
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
     tied = np.zeros(n, bool)
     tied[sa[1:]] = rank[sa[1:]] == rank[sa[:-1]]
+    del rank, slots
     step = 32
     rows = -(-n // step)
     plcp = np.zeros(rows * step, np.int16)
@@ -347,16 +358,19 @@ def first_windows(data: np.ndarray, ws: np.ndarray, we: np.ndarray, tail: np.nda
     by = np.argsort(fp)
     f = fp[by]
     again = np.flatnonzero(f[1:] == f[:-1])
-    owner = np.arange(n)
     if not len(again):
         return order
+    owner = np.arange(n, dtype=np.int32)
     shared = f[again[np.concatenate([[True], again[1:] != again[:-1] + 1])]]
     lo, hi = np.searchsorted(f, shared, "left"), np.searchsorted(f, shared, "right")
     who = by[flat(lo, hi - lo)]
     group = np.repeat(np.arange(len(lo)), hi - lo)
+    del fp, f, by, again
     who = who[np.lexsort((order[who], group))]
+    del group
     owner[who] = np.repeat(who[np.cumsum(hi - lo) - (hi - lo)], hi - lo)
-    other = owner != np.arange(n)
+    del who
+    other = owner != np.arange(n, dtype=np.int32)
     chained = np.zeros(n, bool)
     chained[1:] = joined[1:] & other[1:] & other[:-1] & (owner[1:] == owner[:-1] + 1) & joined[np.minimum(owner[1:], n - 1)]
 
@@ -546,22 +560,24 @@ def local_first(u: Units, data, parts, spans, ids):
         seg = data[flat(s0, s1 - s0)]
         at = np.cumsum(s1 - s0) - (s1 - s0)
         which = np.cumsum(new) - 1
-        w = flat(at[which] + b0 - s0[which], m)  # windows by place in seg
-        doc, start = np.repeat(d, m), flat(s, m)
-        order = (dense[doc].astype(np.int64) << 40) | start
         sa, lcp = suffix_groups(seg, u.width)
-        place = np.full(len(seg), -1, np.int64)
-        place[w] = np.arange(len(w))
-        at_sa = place[sa]
-        group = np.cumsum(lcp < u.width)
-        held = at_sa >= 0
-        who, g = at_sa[held], group[held]
+        w = flat(at[which] + b0 - s0[which], m).astype(np.int32)  # windows by place in seg
+        doc, start = np.repeat(d.astype(np.int32), m), flat(s, m).astype(np.int32)
+        place = np.full(len(seg), -1, np.int32)
+        place[w] = np.arange(len(w), dtype=np.int32)
+        who, g = place[sa], np.cumsum(lcp < u.width, dtype=np.int32)
+        del place, sa, lcp
+        held = who >= 0
+        who, g = who[held], g[held]
         head = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        del g, held
+        order = (dense[doc].astype(np.int64) << 40) | start
         least = np.minimum.reduceat(order[who], head)
         best = np.empty(len(w), np.int64)
         best[who] = np.repeat(least, np.diff(np.append(head, len(who))))
         later = best < order
-        text, wstart, wend = seg, w, w + u.width
+        del best, order, who
+        text, wstart, wend = seg, w, w + np.int32(u.width)
     else:
         d, s, m, code = (np.concatenate([x[i] for x in spans]) for i in range(4))
         raw = [p for x in spans for p in x[4]]
@@ -570,7 +586,7 @@ def local_first(u: Units, data, parts, spans, ids):
         order = (dense[doc].astype(np.int64) << 40) | start
         later = first_windows(text, ws, we, tail, joined, order) < order
         wstart, wend = ws, we
-    run = np.repeat(np.arange(len(m)), m)
+    run = np.repeat(np.arange(len(m), dtype=np.int32), m)
     first = ~later
     pend = np.unique(doc[first])
 
@@ -621,13 +637,13 @@ def merge_rows(u: Units, shards: int, above: Level | None):
         size, m = meta["size"].astype(np.int64), meta["n"].astype(np.int64)
         off = np.cumsum(size) - size
         if u.kind == "bytes":
-            ws = flat(off, m)
-            we, tail = ws + u.width, ws + u.width - 1
+            ws = flat(off, m).astype(np.int32)
+            we, tail = ws + np.int32(u.width), ws + np.int32(u.width - 1)
             joined = np.ones(len(ws), bool)
             joined[np.cumsum(m) - m] = False
         else:
             data, ws, we, tail, joined, _ = word_windows([data[o : o + s] for o, s in zip(off, size, strict=True)], m, u.width)
-        start, piece = flat(meta["start"], m), np.repeat(np.arange(len(m)), m)
+        start, piece = flat(meta["start"], m), np.repeat(np.arange(len(m), dtype=np.int32), m)
         dense = np.unique(meta["doc"], return_inverse=True)[1]
         order = (np.repeat(dense, m).astype(np.int64) << 40) | start
         later = first_windows(data, ws, we, tail, joined, order) < order

@@ -11,8 +11,8 @@ from tidewheel.llm import kernels as K
 from tidewheel.llm.repeats import ANCHOR_SCHEMA, CODES, KNOWN, NO_CODES, Units, anchor_rows, carried, hashed, packed_codes, remove_repeats, shards_for
 from tidewheel.llm.store import discard, parts_for, text_bytes, written
 
-#: text of a shard: sorting its suffixes takes up to a hundred times as much memory
-SHARD_BYTES = 8 << 20
+#: text of a shard: sorting its suffixes takes some fifty times as much memory
+SHARD_BYTES = 6 << 20
 
 
 def repeated_codes(shards: int):
