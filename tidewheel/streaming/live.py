@@ -87,7 +87,7 @@ class TickerSource(DataSource):
     """A stream of ticker messages, one partition for each connection.
 
     Options: folder (landed lines, on storage that driver and executors share), symbols
-    (joined by commas), most_streams, a_batch (lines of one micro-batch at most).
+    (joined by commas), most_streams.
     """
 
     @classmethod
@@ -114,18 +114,14 @@ class TickerReader(DataSourceStreamReader):
         self.o = dict(options)
         self.source = FolderLines(self.o["folder"])
         self.groups = groups([s.strip() for s in self.o["symbols"].split(",") if s.strip()], int(self.o.get("most_streams", MOST_STREAMS)))
-        self.at = 0
 
     def initialOffset(self) -> dict:
         return {"line": 0}
 
     def latestOffset(self) -> dict:
-        most = int(self.o.get("a_batch", 1 << 62))
-        self.at = min(self.source.count(), self.at + most)
-        return {"line": self.at}
+        return {"line": self.source.count()}
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
-        self.at = max(self.at, end["line"])
         return [Span(i, g, start["line"], end["line"]) for i, g in enumerate(self.groups)]
 
     def read(self, partition: Span):
@@ -254,10 +250,26 @@ class Status(StreamingQueryListener):
             self.errors.append(event.exception)
 
 
-def stop(*queries, drain: bool = True) -> None:
-    """Stop streams after what has arrived is written."""
+def drained(q, seconds: float = 60.0) -> bool:
+    """Wait until a stream has taken in what has arrived; False if that takes longer.
+
+    Streams whose state has a time limit run batches all the time, so what counts is
+    a batch without input, or that the stream waits for data.
+    """
+    end = time.time() + seconds
+    while q.isActive and time.time() < end:
+        p, now = q.lastProgress, q.status
+        idle = not now["isDataAvailable"] and not now["isTriggerActive"] and now["message"].startswith("Waiting")
+        if p is not None and p["numInputRows"] == 0 or idle:
+            return True
+        time.sleep(0.1)
+    return not q.isActive
+
+
+def stop(*queries, drain: bool = True, seconds: float = 60.0) -> None:
+    """Stop streams after what has arrived is written, or after `seconds` in any case."""
     for q in queries:
-        if drain and q.isActive:
-            q.processAllAvailable()
+        if drain and not drained(q, seconds):
+            log.warning("stopped with input left")
     for q in queries:
         q.stop()
