@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.ml.evaluate import average_folds, metrics
@@ -63,6 +66,33 @@ class Forecaster:
     def size(self) -> int:
         return 0
 
+    def save(self, path: str) -> None:
+        """Model, parameters, features and interval in a folder of their own, on any storage that Spark writes to."""
+        if self.model is None:
+            raise RuntimeError("fit the model first")
+        meta = {"name": self.name, "params": self.params, "features": getattr(self, "features", []), "model": self._state()}
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+        self._save_model(f"{path}/model")
+
+    @staticmethod
+    def load(path: str) -> Forecaster:
+        """The model that was saved at path, whatever its kind."""
+        meta = json.loads(SparkSession.getActiveSession().read.text(f"{path}/meta").first()["value"])
+        m = make(meta["name"], **meta["params"])
+        m.features = meta["features"]
+        m.model = m._load_model(f"{path}/model", meta["model"])
+        return m
+
+    def _state(self):
+        return self.model
+
+    def _save_model(self, path: str) -> None:
+        pass
+
+    def _load_model(self, path: str, state):
+        return state
+
 
 class NaiveQuantiles(Forecaster):
     """The quantiles of the training targets."""
@@ -112,23 +142,67 @@ class Trees(Forecaster):
     def size(self) -> int:
         return sum(t.numNodes for t in self.model.stages[-1].trees) * 32
 
-    def save(self, path: str) -> None:
-        if self.model is None:
-            raise RuntimeError("fit the model first")
+    def _state(self):
+        return None
+
+    def _save_model(self, path: str) -> None:
         self.model.write().overwrite().save(path)
 
-    def load(self, path: str, low: float, high: float) -> Trees:
-        self.model = PipelineModel.load(path)
-        self.params |= {"low": low, "high": high}
-        return self
+    def _load_model(self, path: str, state):
+        return PipelineModel.load(path)
 
 
 class RandomForest(Trees):
+    """A forest; the interval holds the middle 90 percent of the trees' own predictions."""
+
     name = "RandomForest"
 
     def _regressor(self, target):
         return RandomForestRegressor(featuresCol="_x", labelCol=target, predictionCol="_p", numTrees=self.params.get("trees", 50), maxDepth=self.params.get("depth", 6), seed=self.params.get("seed", 42))
 
+    def _predict(self, df):
+        """The forest as arrays of nodes, walked for each row in Arrow batches: a value for each tree, and their percentiles."""
+        trees, features = [nodes_of(t._java_obj.rootNode()) for t in self.model.stages[-1].trees], list(self.features)
+        low, high = 50 * (1 - CONFIDENCE), 100 - 50 * (1 - CONFIDENCE)
+
+        def ask(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+            for cols in columns:
+                x = np.stack([c.to_numpy(float) for c in cols], 1)
+                all_ = np.stack([walked(t, x) for t in trees])
+                lo, hi = np.percentile(all_, [low, high], axis=0)
+                p = all_.mean(0)
+                yield pd.DataFrame({"point": p, "lower": np.minimum(lo, p), "upper": np.maximum(hi, p)})
+
+        udf = F.pandas_udf(ask, "point double, lower double, upper double")
+        return df.withColumn("_f", udf(*(F.col(f"`{c}`").cast("double") for c in features))).select(*(F.col(f"`{c}`") for c in df.columns), "_f.*")
+
+
+def nodes_of(node, out: list | None = None) -> list[tuple[int, float, int, int, float]]:
+    """A tree of Spark ML as rows (feature, threshold, left, right, value); feature -1 for leaves."""
+    out = [] if out is None else out
+    at = len(out)
+    out.append((-1, 0.0, -1, -1, node.prediction()))
+    if node.subtreeDepth() > 0:
+        split = node.split()
+        left = len(out)
+        nodes_of(node.leftChild(), out)
+        right = len(out)
+        nodes_of(node.rightChild(), out)
+        out[at] = (split.featureIndex(), split.threshold(), left, right, node.prediction())
+    return out
+
+
+def walked(tree: list[tuple], x: np.ndarray) -> np.ndarray:
+    """Each row's value in a tree of nodes_of."""
+    feature, threshold, left, right, value = (np.array(c) for c in zip(*tree, strict=True))
+    at = np.zeros(len(x), np.int64)
+    while True:
+        inner = np.flatnonzero(feature[at] >= 0)
+        if not len(inner):
+            return value[at]
+        node = at[inner]
+        at[inner] = np.where(x[inner, feature[node]] <= threshold[node], left[node], right[node])
+
 
 class GradientBoosting(Trees):
     name = "GradientBoosting"

@@ -52,15 +52,17 @@ def merged_stream(msgs: DataFrame, emit_on: str = "any", idle_ms: int = 3_600_00
         if state.hasTimedOut:
             state.remove()
             return
-        held = dict(zip(FIELDS, state.get, strict=True)) if state.exists else dict.fromkeys(FIELDS)
-        rows = []
-        for m in pd.concat(list(frames)).sort_values("seq").to_dict("records"):
-            held |= {f: m[f] for f in (MINI if m["kind"] == "mini" else BOOK)}
-            if held["last_price"] is not None and held["bid_price"] is not None and (emit_on == "any" or m["kind"] == "mini"):
-                rows.append((key[0], m["event_ms"], m["seq"], *(held[f] for f in FIELDS)))
-        state.update(tuple(held[f] for f in FIELDS))
+        m = pd.concat(list(frames)).sort_values("seq")
+        held = pd.DataFrame([state.get if state.exists else (None,) * len(FIELDS)], columns=FIELDS, dtype=object)
+        # the last value of each field so far, the state's coming before the batch's
+        whole = pd.concat([held, m[FIELDS].astype(object)], ignore_index=True).ffill()
+        now = whole.iloc[1:].reset_index(drop=True)
+        state.update(tuple(None if pd.isna(v) else v for v in whole.iloc[-1]))
         state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(rows, columns=["symbol", "event_ms", "seq", *FIELDS])
+        said = now["last_price"].notna() & now["bid_price"].notna()
+        if emit_on != "any":
+            said &= (m["kind"] == "mini").to_numpy()
+        yield pd.concat([m[["event_ms", "seq"]].reset_index(drop=True), now], axis=1)[said].assign(symbol=key[0])[["symbol", "event_ms", "seq", *FIELDS]]
 
     schema = ", ".join(f"{f} string" for f in FIELDS)
     return msgs.groupBy("symbol").applyInPandasWithState(step, OUT, schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
