@@ -53,7 +53,7 @@ def perspectives(messages: DataFrame, part: int = PART, context: tuple[str, ...]
     repeated messages.  A null text is an empty message, a null role is "unknown",
     and rows without conv_id are one conversation.  Roles in `context` take part in
     every rendering but have no perspective; a conversation of them alone has none.
-    Markers inside texts are broken up.  Empty tables give no rows; other columns
+    Markers inside texts and names are broken up, and line breaks in names are spaces.  Empty tables give no rows; other columns
     are ignored.
     """
     m = messages.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -61,7 +61,7 @@ def perspectives(messages: DataFrame, part: int = PART, context: tuple[str, ...]
     who = m.where(~F.col("role").isin(*context)).select(F.col("conv_id").alias("c"), F.col("role").alias("perspective")).distinct()
     seen = m.join(who, m["conv_id"].eqNullSafe(who["c"])).drop("c")
     mine = F.col("role") == F.col("perspective")
-    head = F.when(mine, F.lit("assistant")).when(F.col("role").isin(*context), F.col("role")).otherwise(F.concat(F.lit("user name="), safe(F.col("role"))))
+    head = F.when(mine, F.lit("assistant")).when(F.col("role").isin(*context), F.col("role")).otherwise(F.concat(F.lit("user name="), F.translate(safe(F.col("role")), "\r\n", "  ")))
     seen = seen.select(
         "conv_id",
         "perspective",

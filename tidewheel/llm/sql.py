@@ -17,7 +17,7 @@ CHAT = f"""WITH m AS (SELECT conv_id, coalesce(role, 'unknown') AS role, coalesc
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS pos FROM conversations),
   who AS (SELECT DISTINCT conv_id, role AS perspective FROM m WHERE role NOT IN ({', '.join(map(repr, CONTEXT))})),
   x AS (SELECT m.conv_id, perspective, pos // {PART} AS part, pos, role = perspective AS mine,
-    concat('{OPEN}', CASE WHEN role = perspective THEN 'assistant' WHEN role IN ({', '.join(map(repr, CONTEXT))}) THEN role ELSE concat('user name=', replace(role, '<|', '< |')) END, chr(10)) AS head,
+    concat('{OPEN}', CASE WHEN role = perspective THEN 'assistant' WHEN role IN ({', '.join(map(repr, CONTEXT))}) THEN role ELSE concat('user name=', translate(replace(role, '<|', '< |'), concat(chr(13), chr(10)), '  ')) END, chr(10)) AS head,
     concat(replace(text, '<|', '< |'), '{CLOSE}') AS body FROM m JOIN who ON m.conv_id IS NOT DISTINCT FROM who.conv_id),
   y AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY pos) - 1 AS fin FROM x)
 SELECT conv_id, perspective, part, count(*) AS n_messages, CAST(count(*) FILTER (mine) AS BIGINT) AS n_target,
