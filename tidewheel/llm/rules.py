@@ -25,7 +25,7 @@ BIN_BITS = 5
 LEAST_ROWS = 200
 #: fences stand REACH spreads beyond the quartiles; a spread is at least LEAST_SPREAD (in 1/1000)
 REACH = 4
-LEAST_SPREAD = {"symbol_rate": 25, "dup_line_rate": 10, "repeat_rate": 50, "word_length": 1500}
+LEAST_SPREAD = {"symbol_rate": 25, "dup_line_rate": 10, "repeat_rate": 50, "word_length": 1000}
 
 
 def count_batches(batches):
