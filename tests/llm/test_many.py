@@ -54,11 +54,43 @@ def test_equal_fingerprints_are_told_apart(monkeypatch):
     assert got.tolist() == [5, 6, 5, 8]
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_windows_around_anchors(seed):
+    """Pieces that share any parts of what is around one anchor, in small and in whole alphabets."""
+    r = np.random.default_rng(seed)
+    u = Units("bytes", 12, 4, "suffix")
+    anchor = bytes(r.integers(0, 256, 4, dtype=np.uint8))
+    letters = r.choice([2, 256])
+    base = bytes(r.integers(0, letters, 40, dtype=np.uint8))
+    raw, at, m = [], [], []
+    for _ in range(60):
+        k = int(r.integers(0, 9))  # bytes before the anchor
+        n = int(r.integers(1, k + 2))
+        whole = bytearray(base[20 - k : 20] + anchor + base[20 : 20 + n - 1 + 12 - k - 4]) if k <= 8 else None
+        if n - 1 + 12 < k + 4:
+            continue
+        if r.random() < 0.6:
+            whole[int(r.integers(len(whole)))] = int(r.integers(0, letters))
+        if bytes(whole[k : k + 4]) != anchor:
+            continue
+        raw.append(bytes(whole)), at.append(k), m.append(n)
+    size, at, m = np.array([len(x) for x in raw]), np.array(at), np.array(m)
+    assert (size == m - 1 + 12).all()
+    off = np.cumsum(size) - size
+    order = r.permutation(int(m.sum())).astype(np.int64)
+    got = repeats.first_around(np.frombuffer(b"".join(raw), np.uint8), off + at, at, m, u, order)
+    windows = [(at[p] - i, raw[p][i : i + 12]) for p in range(len(raw)) for i in range(m[p])]
+    least = {}
+    for w, o in zip(windows, order.tolist(), strict=True):
+        least[w] = min(o, least.get(w, o))
+    assert got.tolist() == [least[w] for w in windows]
+
+
 def test_rows_of_one_id_spread():
     ids, th = np.full(10_000, 7), np.arange(10_000) * 977
     shard = repeats.shard_of(repeats.tokens_of(ids, th), 16)
     assert np.bincount(shard, minlength=16).min() > 400
-    assert META.itemsize == 40 and Units("bytes", 100, 32, "suffix").gram == 32
+    assert META.itemsize == 44 and Units("bytes", 100, 32, "suffix").gram == 32
 
 
 def test_components_with_salts(spark, monkeypatch):

@@ -11,7 +11,8 @@ part small:
 2. shards: documents meet their candidate anchors; windows at candidate anchors
    are compared inside the shard, and the first of each is sent on;
 3. merge: first windows of neighbouring shards meet by anchor and are compared
-   exactly; the first ones go on to the next level, where groups of FAN times as
+   exactly (bytes by sorted suffixes and prefixes around their anchors, words by
+   fingerprints and then texts); the first ones go on to the next level, where groups of FAN times as
    many shards meet, until all have met;
 4. finish: each document's removed units are put together.
 
@@ -86,11 +87,11 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchor_runs(u: Units, h: np.ndarray, uoff: np.ndarray):
-    """Maximal runs of windows with one anchor: (first window, windows, anchor hash, document)."""
+    """Maximal runs of windows with one anchor: (first window, windows, anchor hash, document, units from the first window's start to the anchor)."""
     total, w = int(uoff[-1]), u.width
     none = np.zeros(0, np.int64)
     if total < w:
-        return none, none, none.astype(U64), none
+        return none, none, none.astype(U64), none, none
     key = (h & U64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=U64)
     at = (sliding_min(key, w - u.gram + 1) & U64(0xFFFFFFFF)).astype(np.int64)
     edge = np.zeros(total + 1, np.int64)
@@ -101,10 +102,10 @@ def anchor_runs(u: Units, h: np.ndarray, uoff: np.ndarray):
     begins[1:] &= ~valid[:-1] | (at[1:] != at[:-1])
     lo = np.flatnonzero(begins)
     if not len(lo):
-        return none, none, none.astype(U64), none
+        return none, none, none.astype(U64), none, none
     c = np.concatenate([[0], np.cumsum(valid)])
     n = c[np.append(lo[1:], len(at))] - c[lo]
-    return lo, n, h[at[lo]], np.searchsorted(uoff, lo, "right") - 1
+    return lo, n, h[at[lo]], np.searchsorted(uoff, lo, "right") - 1, at[lo] - lo
 
 
 def code_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -172,7 +173,7 @@ def anchor_rows(u: Units, buckets: int, shards: int, flush: int = 1 << 20):
         codes, ids, held = [], [], 0
         for rows, data, offsets in K.blocks(batches):
             h, uoff, _ = units_of(u, data, offsets)
-            _, _, a, doc = anchor_runs(u, h, uoff)
+            _, _, a, doc, _ = anchor_runs(u, h, uoff)
             codes.append(code_of(a, buckets))
             ids.append(tokens_of(ids_of(rows.column(0)), rows.column(1).to_numpy())[doc])
             held += len(a)
@@ -389,6 +390,58 @@ def first_windows(data: np.ndarray, ws: np.ndarray, we: np.ndarray, tail: np.nda
     return order[owner]
 
 
+def context_order(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of strings given as 8-byte words, and the leading bytes that each shares with the one before it in that order."""
+    order = np.lexsort(words[::-1])
+    shared, live = np.zeros(len(order), np.int64), np.ones(len(order), bool)
+    live[:1] = False
+    for w in words:
+        x = np.zeros(len(order), U64)
+        x[1:] = w[order[1:]] ^ w[order[:-1]]
+        same = np.zeros(len(order), np.int64)
+        for b in range(1, 8):
+            same += x < U64(1 << (64 - 8 * b))
+        shared += np.where(live, np.where(x == 0, 8, same), 0)
+        live &= x == 0
+    return order, shared
+
+
+def first_around(data: np.ndarray, anchor: np.ndarray, at: np.ndarray, m: np.ndarray, u: Units, order: np.ndarray) -> np.ndarray:
+    """Least order among the windows equal to each window of byte pieces; `order` by window.
+
+    Piece p has m[p] windows around one anchor, at data[anchor[p]], the first of which
+    starts at[p] bytes before it.  The suffixes that start at the anchors, and the
+    reversed prefixes that end there, of all shards are each put in one sorted array
+    with common prefixes.  Windows are equal if they start as far before their anchors,
+    and their pieces share that many bytes before them and the rest after them: three
+    numbers, whose class is found by binary search among those of all windows.
+    """
+    n, far = len(m), u.width - u.gram + 1
+    pad = np.concatenate([np.zeros(u.width + 8, np.uint8), data, np.zeros(u.width + 16, np.uint8)])
+    word = np.zeros(len(pad) - 7, U64)
+    for j in range(8):
+        word <<= U64(8)
+        word |= pad[j : j + len(word)]
+    del pad
+    here = anchor + u.width + 8
+    right = context_order([word[here + 8 * j] for j in range(-(-u.width // 8))])
+    left = context_order([word[here - 8 * (j + 1)].byteswap() for j in range(-(-far // 8))])
+    del word
+    after, before = np.empty((far, n), np.int32), np.empty((far, n), np.int32)
+    for o in range(far):
+        after[o, right[0]] = np.cumsum(right[1] < u.width - o)
+        before[o, left[0]] = np.cumsum(left[1] < o)
+    piece = np.repeat(np.arange(n, dtype=np.int32), m)
+    o = np.repeat(at, m) - flat(np.zeros(n, np.int64), m)
+    key = (o.astype(U64) << U64(56)) | (after[o, piece].astype(U64) << U64(28)) | before[o, piece].astype(U64)
+    del after, before, o, piece
+    by = np.argsort(key)
+    sorted_ = key[by]
+    head = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    least = np.minimum.reduceat(order[by], head)
+    return least[np.searchsorted(sorted_[head], key)]
+
+
 def runs_of(flags: np.ndarray, doc: np.ndarray, start: np.ndarray):
     """Maximal runs of flagged consecutive windows: (document, first, windows)."""
     i = np.flatnonzero(flags)
@@ -426,7 +479,7 @@ RESULT = "doc_id bigint, th bigint, n_units bigint, n_removed bigint, n_spans bi
 SHARD = f"kind int, bucket int, meta binary, payload binary, {RESULT}, pack binary"
 #: text of waiting documents in one blob
 WAITING_BYTES = 1 << 20
-META = np.dtype([("doc", "<i8"), ("th", "<i8"), ("code", "<u8"), ("start", "<i8"), ("n", "<i4"), ("size", "<i4")])
+META = np.dtype([("doc", "<i8"), ("th", "<i8"), ("code", "<u8"), ("start", "<i8"), ("n", "<i4"), ("size", "<i4"), ("at", "<i4")])
 FOUND = np.dtype([("doc", "<i8"), ("th", "<i8"), ("start", "<i8"), ("n", "<i4")])
 COVER = np.dtype([("start", "<i8"), ("n", "<i8")])
 
@@ -492,16 +545,16 @@ def shard_rows(u: Units, buckets: int, level: Level, keep_text: bool):
         for i, j in K.cut(offsets):
             part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             h, uoff, words = units_of(u, part, off)
-            lo, m, a, d = anchor_runs(u, h, uoff)
+            lo, m, a, d, far = anchor_runs(u, h, uoff)
             code = code_of(a, buckets)
             k = K.mix(code ^ K.mix(own[i:j][d].view(U64)))
             at = np.searchsorted(wanted, k)
             hit = np.flatnonzero((at < len(wanted)) & (wanted[np.minimum(at, len(wanted) - 1)] == k)) if len(wanted) else np.zeros(0, np.int64)
-            lo, m, d, code = lo[hit], m[hit], d[hit], code[hit]
+            lo, m, d, code, far = lo[hit], m[hit], d[hit], code[hit], far[hit]
             if len(lo):
                 if words is None:  # byte positions in the shard's data
                     b0, b1 = lo + offsets[i], lo + m - 1 + u.width + offsets[i]
-                    parts.append((d + i, lo - uoff[d], m, code, b0, b1))
+                    parts.append((d + i, lo - uoff[d], m, code, b0, b1, far))
                 else:
                     s, e = words
                     spans.append((d + i, lo - uoff[d], m, code, [part[s[x] : e[x + c + u.width - 2]] for x, c in zip(lo, m, strict=True)]))
@@ -552,7 +605,7 @@ def local_first(u: Units, data, parts, spans, ids):
         return (lambda *_: ()), z, z, z.astype(bool), z
     dense = np.unique(ids, return_inverse=True)[1]  # rows with one id have one place
     if u.kind == "bytes":
-        d, s, m, code, b0, b1 = (np.concatenate(x) for x in zip(*parts, strict=True))
+        d, s, m, code, b0, b1, far = (np.concatenate(x) for x in zip(*parts, strict=True))
         # segments: unions of the runs' bytes, laid side by side
         new = np.concatenate([[True], (d[1:] != d[:-1]) | (b0[1:] > np.maximum.accumulate(b1)[:-1])])
         first = np.flatnonzero(new)
@@ -580,6 +633,7 @@ def local_first(u: Units, data, parts, spans, ids):
         text, wstart, wend = seg, w, w + np.int32(u.width)
     else:
         d, s, m, code = (np.concatenate([x[i] for x in spans]) for i in range(4))
+        far = np.zeros(len(m), np.int64)
         raw = [p for x in spans for p in x[4]]
         text, ws, we, tail, joined, _ = word_windows(raw, m, u.width)
         doc, start = np.repeat(d, m), flat(s, m)
@@ -598,6 +652,7 @@ def local_first(u: Units, data, parts, spans, ids):
         z = a + n - 1
         meta = np.empty(len(a), META)
         meta["doc"], meta["th"], meta["code"], meta["start"], meta["n"], meta["size"] = ids[doc[a]], ths[doc[a]], code[run[a]], start[a], n, wend[z] - wstart[a]
+        meta["at"] = far[run[a]] - (start[a] - s[run[a]])
         yield from by_bucket(meta, level.bucket(shard, meta["code"]), text, wstart[a])
 
     return pieces, doc, start, later, pend
@@ -636,17 +691,16 @@ def merge_rows(u: Units, shards: int, above: Level | None):
         data = np.frombuffer(b"".join(unpacked(x) for x in table.column("payload").to_pylist()), np.uint8)
         size, m = meta["size"].astype(np.int64), meta["n"].astype(np.int64)
         off = np.cumsum(size) - size
+        start, piece = flat(meta["start"], m), np.repeat(np.arange(len(m), dtype=np.int32), m)
+        dense = np.unique(meta["doc"], return_inverse=True)[1]
+        order = (np.repeat(dense, m).astype(np.int64) << 40) | start
         if u.kind == "bytes":
             ws = flat(off, m).astype(np.int32)
-            we, tail = ws + np.int32(u.width), ws + np.int32(u.width - 1)
-            joined = np.ones(len(ws), bool)
-            joined[np.cumsum(m) - m] = False
+            we = ws + np.int32(u.width)
+            later = first_around(data, off + meta["at"], meta["at"].astype(np.int64), m, u, order) < order
         else:
             data, ws, we, tail, joined, _ = word_windows([data[o : o + s] for o, s in zip(off, size, strict=True)], m, u.width)
-        start, piece = flat(meta["start"], m), np.repeat(np.arange(len(m), dtype=np.int32), m)
-        dense = np.unique(meta["doc"], return_inverse=True)[1]
-        order = (np.repeat(dense, m).astype(np.int64) << 40) | start
-        later = first_windows(data, ws, we, tail, joined, order) < order
+            later = first_windows(data, ws, we, tail, joined, order) < order
         pd_, ps, pn = runs_of(later, piece, start)
         out = np.empty(len(pd_), FOUND)
         out["doc"], out["th"], out["start"], out["n"] = meta["doc"][pd_], meta["th"][pd_], ps, pn
@@ -659,6 +713,7 @@ def merge_rows(u: Units, shards: int, above: Level | None):
             a = (np.cumsum(m) - m)[kd] + ks - meta["start"][kd]  # a kept run's first window
             kept = meta[kd].copy()
             kept["start"], kept["n"], kept["size"] = ks, kn, we[a + kn - 1] - ws[a]
+            kept["at"] -= (ks - meta["start"][kd]).astype(np.int32)
             home = shard_of(tokens_of(kept["doc"], kept["th"]), shards)
             rows += [(None, None, *x) for x in by_bucket(kept, above.bucket(home, kept["code"]), data, ws[a])]
         types = (pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary())

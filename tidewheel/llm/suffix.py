@@ -34,8 +34,9 @@ def suffix_dedup(docs: DataFrame, width: int = 100, keep_text: bool = False, car
 
     Each shard sorts the suffixes of the stretches that may repeat
     (Larsson-Sadakane), takes common prefixes (Kasai) and sends the first copy of
-    every string on; shards are merged by bisection over sorted fingerprints with
-    a check on bytes.  A stretch may repeat if its anchor (least 32-gram hash)
+    every string on.  Shards are merged, group by group, by binary search among the
+    ranks that the strings have in sorted arrays of the suffixes and the reversed
+    prefixes around their anchors.  A stretch may repeat if its anchor (least 32-gram hash)
     occurs elsewhere, so strings that occur once are neither sorted nor sent.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text
