@@ -59,3 +59,21 @@ def test_signals_and_notices(tmp_path):
     assert ops.seed_all(3).random() == ops.seed_all(3).random()
     assert ops.zipped(str(tmp_path), f"{tmp_path}/all.zip") == 1
     assert len(ops.logging_to(f"{tmp_path}/logs", name="t").handlers) == len(ops.logging_to(f"{tmp_path}/logs", name="t").handlers) == 2
+
+
+def test_shrinking_and_discovery(tmp_path):
+    tried = []
+
+    def call(n):
+        tried.append(n)
+        if n > 10:
+            raise MemoryError
+        return n
+
+    assert ops.shrinking(call, 64) == 8 and tried == [64, 32, 16, 8]
+    with pytest.raises(MemoryError):
+        ops.shrinking(call, 64, least=16)
+    (tmp_path / "a" / "features").mkdir(parents=True)
+    (tmp_path / "a" / "features" / "BTC_features.csv").write_text("")
+    (tmp_path / "a" / "coin_mapping.csv").write_text("")
+    assert ops.discovered(str(tmp_path)) == {"features": f"{tmp_path}/a/features", "mapping": f"{tmp_path}/a/coin_mapping.csv", "config": None}

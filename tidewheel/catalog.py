@@ -13,7 +13,7 @@ from tidewheel.ml import evaluate, local, prepare
 from tidewheel.ml import run as experiment
 from tidewheel.operators import indicators, mapping, quality, structure
 from tidewheel.oracle import sql as S
-from tidewheel.plans.features import compute
+from tidewheel.plans.features import compute, failures
 from tidewheel.sources import rest
 from tidewheel.sources.candles import daily, hourly, last_times, parse_klines, table
 from tidewheel.streaming import live, ticker
@@ -288,6 +288,16 @@ add("cln04_warm_up", lambda s, d: show(quality.warmed_up(compute(hourly(s, d), [
 add("cln03_finite", lambda s, d: quality.finite(dirty(s, d), _num).select("symbol", "row_idx", *(F.round(c, 6).alias(c) for c in _num)), f"WITH {DIRTY} SELECT symbol, row_idx, {', '.join(f'round(CASE WHEN NOT isinf({c}) THEN {c} END, 6) AS {c}' for c in _num)} FROM dirty")
 add("cln03_infinite_cells", lambda s, d: quality.infinite_cells(dirty(s, d).where("ts is not null"), _num).select("symbol", bar().alias("bar"), "column", F.signum("value").cast("int").alias("sign")),
     f"WITH {DIRTY} " + " UNION ALL ".join(f"SELECT symbol, {S.BAR}, '{c}' AS column, CAST(sign({c}) AS INT) AS sign FROM dirty WHERE ts IS NOT NULL AND isinf({c})" for c in _num))
+
+
+def short_symbols(s, d):
+    """Candles of which two symbols have 40 bars only, and the symbols that a feature run makes no rows of."""
+    n = F.row_number().over(Window.partitionBy("symbol").orderBy("ts"))
+    c = hourly(s, d).withColumn("_n", n).where("symbol not in ('purchase', 'view') or _n <= 40").drop("_n")
+    return failures(c, quality.warmed_up(compute(c, ["trend", "momentum", "volatility"])))
+
+
+add("orc01_feature_failures", lambda s, d: short_symbols(s, d).select("symbol", "n_rows"), f"WITH {S.CANDLES} SELECT symbol, least(count(*), 40) AS n_rows FROM candles WHERE symbol IN ('purchase', 'view') GROUP BY symbol")
 add("win27_lookback", lambda s, d: show(quality.lookback(hourly(s, d), 100), ["close"]), final(f"{S.CANDLES}, f AS (SELECT * FROM candles QUALIFY ts >= max(ts) OVER (PARTITION BY symbol) - INTERVAL 100 HOUR)", ["close"]))
 add("src19_last_times", lambda s, d: last_times(hourly(s, d)).select("symbol", bar("first_ts").alias("first_bar"), bar("last_ts").alias("last_bar")), f"WITH {S.CANDLES} SELECT symbol, min({_hr('ts')}) AS first_bar, max({_hr('ts')}) AS last_bar FROM candles GROUP BY symbol")
 add("snk04_merge", lambda s, d: show(quality.merge_tables(hourly(s, d), hourly(s, d).withColumn("close", F.col("close") + 1).withColumn("ts", F.expr("ts + interval 1 hour"))), ["close"]),

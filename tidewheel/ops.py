@@ -99,3 +99,31 @@ def zipped(folder: str, target: str) -> int:
         for p in files:
             z.write(p, p.relative_to(root))
     return len(files)
+
+
+def shrinking(call: Callable[[int], object], size: int, least: int = 1, errors: tuple[type[BaseException], ...] = (MemoryError,)):
+    """call(size), with half the size after each lack of memory; below `least` the last error is raised."""
+    while True:
+        try:
+            return call(size)
+        except errors:
+            if size // 2 < least:
+                raise
+            logging.getLogger("tidewheel").warning("out of memory at size %d", size)
+            size //= 2
+
+
+def discovered(root: str) -> dict[str, str | None]:
+    """Where under root the feature files, the mapping and the settings are: the first folder or file of each kind by path."""
+    found: dict[str, str | None] = {"features": None, "mapping": None, "config": None}
+    for path in sorted(Path(root).rglob("*")):
+        kind, at = None, path
+        if path.name.endswith("_features.csv"):
+            kind, at = "features", path.parent
+        elif path.name == "coin_mapping.csv":
+            kind = "mapping"
+        elif path.suffix in (".yaml", ".yml"):
+            kind = "config"
+        if kind and found[kind] is None:
+            found[kind] = str(at)
+    return found

@@ -72,6 +72,12 @@ def features(candles: DataFrame, context: str | None = "BTC", prefix: str = "BTC
     return warmed_up(out) if trim else out
 
 
+def failures(candles: DataFrame, made: DataFrame) -> DataFrame:
+    """symbol, n_rows, message of the symbols that a run made no feature row of; the others are not held up by them."""
+    n = candles.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_rows"))
+    return n.join(made.select("symbol").distinct(), "symbol", "left_anti").withColumn("message", F.lit("no bar has all warm-up features"))
+
+
 def incremental(candles: DataFrame, stored: DataFrame, **options) -> DataFrame:
     """Feature rows from each symbol's last stored time on (that row included, as its bar may have grown).
 
