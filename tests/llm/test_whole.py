@@ -83,6 +83,27 @@ def test_reopened_index(spark, chained, tmp_path):
         FingerprintIndex(spark, Units("words", 30, 5, "hash"), 3, 5, kept)
 
 
+def test_batches_over_two_sessions(spark, chained, tmp_path):
+    """Six batches, each with its removals at once, the index opened again for every other one: as one run over all."""
+    raw = [(d, tuple(t.split())) for d, t in chained]
+    gone = later_units(raw, 20)
+    want = {d: (len(w), sum(gone[d]), digest(" ".join(x for x, g in zip(w, gone[d], strict=True) if not g).encode())) for d, w in raw}
+    u, docs, path, got, runs = Units("words", 20, 5, "hash"), spark.createDataFrame(chained, "doc_id bigint, text string"), f"file://{tmp_path}/index", {}, []
+    for i in range(6):
+        index = FingerprintIndex(spark, u, 3, 5, path) if i % 2 == 0 else index
+        out = index.add(docs.where(f"doc_id div 7 = {i}"))
+        got |= {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out.collect()}
+        runs.append(len(index.runs))
+    assert got == want and runs == [1, 2, 3, 1, 2, 3]
+    again = FingerprintIndex(spark, u, 3, 5, path)
+    with pytest.raises(ValueError, match="follow"):
+        again.add(docs.where("doc_id = 3"))
+    assert again.add(docs.limit(0)).count() == 0
+    late = again.add(docs.where("doc_id = 2").selectExpr("1000 as doc_id", "concat('new words ', text) as text"), keep_text=True).first()
+    # old windows cover all words but the new ones
+    assert late["n_words"] == want[2][0] + 2 and late["kept_text"] == "new words"
+
+
 def test_pairs_at_the_threshold(spark):
     """Pairs with a similarity of just 0.80 whose signatures differ in more than 23 of 60 symbols."""
     rng, far = random.Random(7), []
