@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.llm import kernels as K
 from tidewheel.llm.store import discard, tasks_for, written
 
 #: fixed value: the word-splitting pattern of the 50k byte-level vocabulary
@@ -211,10 +212,11 @@ def encode_whole(payload: str, keep: bool):
     def run(batches):
         codec = Codec("", payload)
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
+            for i in range(0, b.num_rows, 128):
+                part = b.slice(i, 128)
                 ids = part.column(0).to_pylist()
                 yield result_batch([(d, *digest_row(codec, codec.encode(t or ""), keep)) for d, t in zip(ids, part.column(1).to_pylist(), strict=True)])
+            K.trim()
 
     return run
 
@@ -296,7 +298,12 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, keep_ids: bool = False, pie
 
     def mapped(make, *rest):
         late = Late(make, *rest)
-        return lambda batches: late(batches)
+
+        def run(batches):
+            yield from late(batches)
+            K.trim()
+
+        return run
 
     short = docs.where(F.length("text") <= piece).mapInArrow(mapped(encode_whole, keep_ids), RESULT)
     long = docs.where(F.length("text") > piece)
