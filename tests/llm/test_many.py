@@ -116,7 +116,7 @@ def test_components_with_salts(spark, monkeypatch):
 
 
 def test_blocks_of_clusters(spark, usual, monkeypatch):
-    for name, value in (("SHARE", 4), ("SPLIT", 4), ("BLOCK", 8), ("HOT_KEY", 5)):
+    for name, value in (("SHARE", 4), ("SPLIT", 4), ("BLOCK", 8), ("HOT_KEY", 5), ("MOST_HOT", 10)):
         monkeypatch.setattr(neardup, name, value)
     monkeypatch.setattr(components, "EDGES_A_SALT", 10)
     assert rows(QUERIES["op5_minhash_neardup"](spark, SF)) == usual["op5_minhash_neardup"]

@@ -19,6 +19,8 @@ SIGNATURE = 60
 MISS = 1e-5
 #: a key with more members than this links all of them to its smallest as candidates
 HOT_KEY = 2000
+#: keys that hold more than a share of 1 / MOST_HOT of all members are looked up by broadcast: fewer than MOST_HOT of them
+MOST_HOT = 100_000
 #: documents of a candidate cluster in one block at most
 BLOCK = 4096
 #: a cluster of more documents than this is split for parallel work, into SPLIT blocks of that size before blocks grow
@@ -303,15 +305,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, id_col
     classes = written(classes, "nd-classes")
     reps = classes.select("rep", "sig")
     keys = reps.mapInArrow(key_batches(chunks), "key bigint, rep bigint")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1")
-    members = written(keys.join(shared.hint("merge"), "key"), "nd-members")
-    hot = members.where(f"n > {HOT_KEY} and rep > least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    n_members = members.count()
+    shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1"), "nd-shared")
+    r = shared.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    n_members, limit = r["n"], max(HOT_KEY, r["n"] // MOST_HOT)
+    star = lambda df: df.where("rep > least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    if r["most"] <= limit:
+        members = written(keys.join(shared.hint("merge"), "key"), "nd-members")
+        hot = star(members.where(f"n > {HOT_KEY}"))
+    else:  # the members of the hottest keys stay where they are
+        top = F.broadcast(shared.where(F.col("n") > limit).select("key", "least"))
+        members = written(keys.join(top.select("key"), "key", "left_anti").join(shared.where(F.col("n") <= limit).hint("merge"), "key"), "nd-members")
+        hot = star(members.where(f"n > {HOT_KEY}")).unionByName(star(keys.join(top, "key")))
     cold = members.where(f"n <= {HOT_KEY}").select("key", "rep").join(reps.hint("merge"), "rep")
     parts = parts_for(n_members * 140, 8 << 20)
     edges = cold.withColumn("bucket", F.pmod("key", F.lit(parts * 4))).groupBy("bucket").applyInArrow(K.released(cold_keys(distance_of(chunks))), "a bigint, b bigint")
     clusters = written(components(edges.unionByName(hot), "nd-candidates"), "nd-clusters")
-    discard(members)
+    discard(members, shared)
     # exact confirmation: each member's text goes to its cluster, large clusters in pairs of blocks
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     # a member's text travels once for each block of its cluster: at most SPLIT times up to SPLIT * BLOCK members
