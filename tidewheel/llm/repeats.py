@@ -40,7 +40,7 @@ LAST = np.iinfo(np.int64).max
 #: shards that meet in a task of the first level of the merge, and groups of them in one of the next
 FAN = 256
 #: text that meets in a task of the merge, about
-MERGE_BYTES = 6 << 20
+MERGE_BYTES = 4 << 20
 #: in place of an anchor's document: the anchor is known to repeat.  A document that has this number as its token
 #: counts as known everywhere, and its codes are sent at once
 KNOWN = np.iinfo(np.int64).min

@@ -12,7 +12,7 @@ from tidewheel.llm.repeats import ANCHOR_SCHEMA, CODES, KNOWN, NO_CODES, Units,
 from tidewheel.llm.store import discard, parts_for, text_bytes, written
 
 #: text of a shard: sorting its suffixes takes some fifty times as much memory
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 
 
 def repeated_codes(shards: int):
